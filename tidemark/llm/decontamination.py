@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from itertools import repeat
 
 import pyarrow as pa
@@ -109,10 +110,9 @@ def find(
     pairs = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def one_pass(block: list[tuple[str, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scanned(batches):
-            key = sent.id if hasattr(sent, "id") else id(sent)
             if key not in _built:
                 _built.clear()
                 _built[key] = build(sent.value, window)
