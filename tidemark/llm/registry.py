@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, sharding
+from tidemark.llm import bpe, decontamination, language, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_bpe": bpe.query,
         "op4_decontamination": decontamination.query,
+        "op9_language": language.query,
         "op10_sharding": sharding.query,
     }
 
