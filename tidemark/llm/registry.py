@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, language, sharding
+from tidemark.llm import bpe, decontamination, language, lines, sharding
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.query,
+        "op3_lines": lines.query,
         "op4_decontamination": decontamination.query,
         "op9_language": language.query,
         "op10_sharding": sharding.query,
