@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, language, lines, sharding
+from tidemark.llm import bpe, decontamination, language, lines, minhash, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_minhash": minhash.query,
         "op2_bpe": bpe.query,
         "op3_lines": lines.query,
         "op4_decontamination": decontamination.query,
