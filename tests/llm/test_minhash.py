@@ -35,7 +35,7 @@ def brute(docs, threshold=0.8):
 
     for i in range(len(docs)):
         for j in range(i):
-            if jaccard(bags[i], bags[j]) >= threshold:
+            if (docs[i][1] or "") == (docs[j][1] or "") or jaccard(bags[i], bags[j]) >= threshold:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):

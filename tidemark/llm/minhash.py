@@ -23,8 +23,8 @@ nodes outside the bucket's largest component, until each of these has been compa
 of another component. So no link between components is lost, and a group of near copies costs a
 few comparisons a node, not one a pair. All of this runs as joins; nothing is gathered in one task.
 
-Defined results: documents without words, null and empty ones included, are classes of their own;
-the class id is the least document id of the class (nulls last); repeated rows share a class; an
+Defined results: equal texts are one class, also those without words (a null text is an empty one),
+and a text without words is like no other text; the class id is the least document id of the class (nulls last); repeated rows share a class; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -200,11 +200,11 @@ def classes(
                 break
             links = links.unionAll(_check(new, source, size, threshold, broadcast_rows))
             roots = components(links)
-    node = docs.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text, F.octet_length(text)).alias("node"), F.regexp_like(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).alias("_words"))
+    node = docs.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text, F.octet_length(text)).alias("node"))
     rooted = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Documents without words are alone; the others take the least id of their class, found before the rows meet it.
-    least = rooted.filter("_words").groupBy("root").agg(F.min("_id").alias("_class"))
-    out = rooted.filter("_words").join(least, "root").select("_id", "_class").unionAll(rooted.filter("NOT _words").select("_id", F.col("_id").alias("_class")))
+    # The least id of each class is found before the rows meet it.
+    least = rooted.groupBy("root").agg(F.min("_id").alias("_class"))
+    out = rooted.join(least, "root")
     return out.select(F.col("_id").alias(id_column), F.col("_class").alias("class_id")), links
 
 
