@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
 
-BLOCK_CHARS, BUCKETS_A_TASK, OUT_BYTES = 16_000_000, 2, 8_000_000
+BLOCK_CHARS, BUCKETS_A_TASK, OUT_BYTES = 32_000_000, 2, 8_000_000
+#: Numbers of the commonest words of a block take one byte; this byte says that a longer one follows in another stream.
+_ESCAPE = 255
 #: The pre-token pattern of byte-level BPE, with white space as Unicode has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -102,11 +104,11 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return [e.ids for e in s["tokenizer"].encode_batch(words, add_special_tokens=False)]
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
+def _pack(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     import zstandard
 
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
 
 
 def _unpack(data: bytes, n: int) -> list[bytes]:
@@ -127,21 +129,24 @@ def _finish(ids: list, texts: list[np.ndarray], numbers: dict[str, int], block:
     words = list(numbers)
     raw = [w.encode() for w in words]
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(raw), np.uint32)
-    place[order] = np.arange(len(raw), dtype=np.uint32)
     lengths = np.array([len(t) for t in texts], np.uint32)
-    codes = place[np.concatenate(texts)] if len(raw) else np.zeros(0, np.uint32)
-    # Planes of bytes: the high bytes of most numbers are alike and compress to little.
-    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
-    known = pa.array(ids)
+    # Texts use numbers by falling frequency, most of which fit in a byte; a bucket lists its words in the same order.
+    codes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    common = np.argsort(-np.bincount(codes, minlength=len(raw)), kind="stable")
+    rank = np.empty(len(raw), np.uint32)
+    rank[common] = np.arange(len(raw), dtype=np.uint32)
+    codes = rank[codes]
+    bucket = bucket[common]
+    order = np.argsort(bucket, kind="stable")
+    low, rest = np.minimum(codes, _ESCAPE).astype(np.uint8), codes[codes >= _ESCAPE]
+    known = pa.array([x.as_py() for x in ids], ids[0].type)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", known.type)])) as w:
         w.write_batch(pa.RecordBatch.from_arrays([known], ["id"]))
-    rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), lengths, planes))]
+    rows = [(block, -1, _pack(sink.getvalue().to_pybytes(), lengths, low, _planes(rest), _planes(bucket.astype(np.uint32)), level=9))]
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(bounds)):
-        mine = [raw[i] for i in order[bounds[b] : bounds[b + 1]]]
+        mine = [raw[i] for i in common[order[bounds[b] : bounds[b + 1]]]]
         rows.append((block, int(b), _pack(np.array([len(w) for w in mine], np.uint32), b"".join(mine))))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
 
@@ -185,13 +190,17 @@ def _encoded(path: str):
                     known[w] = np.array(ids, np.uint32).tobytes()
                 found = [known[w] for w in words]
                 ids = np.frombuffer(b"".join(found), np.uint32)
-                planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T)
-                payload = _pack(np.array([len(x) // 4 for x in found], np.uint32), planes)
+                payload = _pack(np.array([len(x) // 4 for x in found], np.uint32), _planes(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], schema=_BLOCK)
 
     return run
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The four bytes of 32-bit numbers in four runs; the high bytes are mostly alike and compress to little."""
+    return np.ascontiguousarray(numbers.astype(np.uint32, copy=False).view(np.uint8).reshape(-1, 4).T)
+
+
 def _whole(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
 
@@ -200,16 +209,20 @@ def _joined(path: str, text: bool):
     """Texts of a block come first, then the ids of its words; they are joined by position."""
 
     def finish(packed: bytes, parts: list[bytes]):
-        ids_raw, lengths, planes = _unpack(packed, 3)
+        ids_raw, lengths, low, rest, bucket = _unpack(packed, 5)
         ids = pa.ipc.open_stream(ids_raw).read_all().column(0).combine_chunks()
-        lengths, codes = np.frombuffer(lengths, np.uint32).astype(np.int64), _whole(planes)
-        words: list[bytes] = []
+        lengths, codes, bucket = np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(low, np.uint8).astype(np.uint32), _whole(bucket)
+        codes[codes == _ESCAPE] = _whole(rest)
+        listed: list[bytes] = []
         for part in parts:
             sizes, id_planes = _unpack(part, 2)
             flat = _whole(id_planes).tobytes()
             sizes = np.frombuffer(sizes, np.uint32)
             ends = np.cumsum(sizes.astype(np.int64)) * 4
-            words += [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+            listed += [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        words: list[bytes] = [b""] * len(listed)
+        for i, x in zip(np.argsort(bucket, kind="stable").tolist(), listed, strict=True):
+            words[i] = x
         piece = _loaded(path)["pieces"] if text else None
         at, out, size, first = 0, [], 0, 0
         for i, n in enumerate(lengths):
