@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, language, lines, minhash, quality, sharding
+from tidemark.llm import bpe, decontamination, language, lines, minhash, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.query,
         "op3_lines": lines.query,
         "op4_decontamination": decontamination.query,
+        "op5_toxicity": toxicity.query,
         "op6_quality": quality.query,
         "op9_language": language.query,
         "op10_sharding": sharding.query,
