@@ -36,7 +36,7 @@ from tidemark.llm import hashing
 from tidemark.llm.bpe import _ESCAPE, _pack, _planes, _unpack, _whole
 from tidemark.llm.shared import chunks, text_buffers, written
 
-BLOCK_BYTES, BUCKETS_A_TASK, DISCOUNT, PRIOR = 10_000_000, 2, 0.7, 20.0
+BLOCK_BYTES, BUCKETS_A_TASK, DISCOUNT, PRIOR = 10_000_000, 2, 0.7, 200.0
 _END = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64((1 << 48) - 1)
 _KIND = "block long, bucket int, payload binary, tokens long, kinds long"
