@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, language, lines, minhash, quality, scoring, sharding, toxicity
+from tidemark.llm import bpe, decontamination, language, lines, minhash, neighbours, quality, scoring, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontamination": decontamination.query,
         "op5_toxicity": toxicity.query,
         "op6_quality": quality.query,
+        "op7_neighbours": neighbours.query,
         "op8_scoring": scoring.query,
         "op9_language": language.query,
         "op10_sharding": sharding.query,
