@@ -153,7 +153,7 @@ def reverse_score(score: Column) -> Column:
 def game_score(own: Column, other: Column) -> Column:
     """0, 15, 30, 40 and advantage from points."""
     names = F.array(*map(F.lit, ["0", "15", "30", "40"]))
-    return F.when((own >= 3) & (other >= 3), F.when(own == other, "40-40").when(own > other, "AD-40").otherwise("40-AD")).otherwise(F.concat(F.element_at(names, (own + 1).cast("int")), F.lit("-"), F.element_at(names, (other + 1).cast("int"))))
+    return F.when((own >= 3) & (other >= 3), F.when(own == other, "40-40").when(own > other, "AD-40").otherwise("40-AD")).otherwise(F.concat(F.try_element_at(names, (own + 1).cast("int")), F.lit("-"), F.try_element_at(names, (other + 1).cast("int"))))
 
 
 def tiebreak_server(first: Column, played: Column) -> Column:

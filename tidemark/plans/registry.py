@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import ingest
+from tidemark.plans import evaluation, ingest, models
 
-MODULES = [ingest]
+MODULES = [ingest, evaluation, models]
 
 
 def queries() -> dict:
