@@ -11,10 +11,10 @@ lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Recurrence up to 6, then the asymptotic series."""
+    """Recurrence up to 10, then the asymptotic series."""
     x = np.asarray(x, float).copy()
     out = np.zeros_like(x)
-    while (low := x < 6).any():
+    while (low := x < 10).any():
         out[low] -= 1 / x[low]
         x[low] += 1
     y = 1 / (x * x)
