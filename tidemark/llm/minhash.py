@@ -40,7 +40,7 @@ from tidemark.llm import hashing
 from tidemark.llm.shared import chunks, text_buffers, written
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 32
-SMALL, PIVOTS, BROADCAST_ROWS, CHUNK, SALTS = 8, 8, 500_000, 1 << 21, 32
+SMALL, PIVOTS, BROADCAST_ROWS, CHUNK, SALTS = 8, 256, 500_000, 1 << 21, 32
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -120,25 +120,40 @@ def _signed(size: int, n_bands: int, rows: int):
     return run
 
 
-def _verified(size: int, threshold: float):
-    """Rows (a, b, text of a, text of b): which are similar enough. A text's multiset is kept while it comes again."""
+def _bagged(size: int):
+    """Rows (node, text) as (node, bag): 64-bit hashes of the shingles in order, then their counts."""
 
     def run(batches):
-        last: dict[int, tuple] = {}
         for batch in batches:
-            keep = []
-            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                both = []
-                for h, text in ((a, s), (b, t)):
-                    if h not in last:
-                        if len(last) >= 64:
-                            last.pop(next(iter(last)))
-                        raw = np.frombuffer(text.encode(), np.uint8)
-                        _, items, weights = bags(raw, np.array([0, len(raw)]), size)
-                        last[h] = (items, weights)
-                    both.append(last[h])
-                keep.append(similarity(*both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.float64())], ["a", "b", "similarity"])
+            data, offsets = text_buffers(batch.column(1))
+            for lo, hi in chunks(offsets, CHUNK):
+                text, items, weights = bags(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                at = np.searchsorted(text, np.arange(hi - lo + 1))
+                out = [items[i:j].tobytes() + weights[i:j].astype(np.uint32).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["node", "bag"])
+
+    return run
+
+
+def _opened(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.uint32, n, 8 * n).astype(np.int64)
+
+
+def _verified(threshold: float):
+    """Rows (a, b, bag of a, bag of b): which are similar enough. The total weights alone rule many out."""
+
+    def run(batches):
+        last: tuple[int, tuple] | None = None
+        for batch in batches:
+            found = []
+            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last is None or last[0] != a:
+                    last = (a, _opened(s.as_py()))
+                other = _opened(t.as_py())
+                x, y = sorted((int(last[1][1].sum()), int(other[1].sum())))
+                found.append(similarity(last[1], other) if x >= threshold * y else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     return run
 
@@ -159,19 +174,14 @@ def components(links: DataFrame) -> DataFrame:
         links = now
 
 
-def _check(pairs: DataFrame, source: DataFrame, size: int, threshold: float, broadcast_rows: int) -> DataFrame:
+def _check(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of nodes, those that are similar enough, with their similarity."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = wanted.count() <= broadcast_rows
-    texts = source.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
-    # A pivot has many partners: its text goes to SALTS places, and only to those where partners are.
+    # A pivot has many partners: its bag goes to SALTS places, and only to those where partners are.
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = salted.select("a", "s").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("_s")), "a")
-    right = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_t")), "b")
+    left = salted.select("a", "s").distinct().join(known.select(F.col("node").alias("a"), F.col("bag").alias("_s")), "a")
+    right = salted.join(known.select(F.col("node").alias("b"), F.col("bag").alias("_t")), "b")
     met = right.join(left, ["a", "s"]).select("a", "b", "_s", "_t")
-    return written(met.mapInArrow(_verified(size, threshold), "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "similar")
+    return written(met.mapInArrow(_verified(threshold), "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "similar")
 
 
 def classes(
@@ -190,7 +200,13 @@ def classes(
     company = hot.groupBy("node").agg(F.sum("n").alias("c"))
     ranked = hot.join(company, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("pivot"))
     stars = ranked.join(hot, "key").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = _check(pairs.unionAll(stars).distinct(), source, size, threshold, broadcast_rows)
+    # The multiset of each node that has company is made once, for all rounds.
+    wanted = written(shared.select("node").distinct(), "wanted")
+    few = wanted.count() <= broadcast_rows
+    texts = source.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    known = written(texts.mapInArrow(_bagged(size), "node long, bag binary"), "bags")
+    tested = written(pairs.unionAll(stars).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"]), "pairs")
+    links = _check(tested.select("a", "b"), known, threshold)
     roots = components(links)
     if not hot.isEmpty():
         done = written(ranked.select("key", F.col("pivot").alias("node")), "pivots")
@@ -198,7 +214,10 @@ def classes(
             new, done = _further(hot, roots, done)
             if new is None:
                 break
-            links = links.unionAll(_check(new, source, size, threshold, broadcast_rows))
+            new = new.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
+            new = written(new.join(tested.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "a", "b"), "pairs")
+            tested = tested.unionAll(new)
+            links = links.unionAll(_check(new.select("a", "b"), known, threshold))
             roots = components(links)
     node = docs.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text, F.octet_length(text)).alias("node"))
     rooted = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
