@@ -18,8 +18,8 @@ at 0.8 is missed with a probability of 5e-8), and candidates are verified on the
 
 Copies of a text are one node. A band's bucket of up to SMALL nodes gives all its pairs. A larger
 one is worked off by pivots: the node with the most company over all its buckets is compared with
-every other node of the bucket; after the components are known, further pivots are taken from the
-nodes outside the bucket's largest component, until each of these has been compared with every node
+every other node of the bucket; after the components are known, INSIDE more from the largest one are
+compared with the nodes outside it, and then pivots are taken from the nodes outside the bucket's largest component, until each of these has been compared with every node
 of another component. So no link between components is lost, and a group of near copies costs a
 few comparisons a node, not one a pair. All of this runs as joins; nothing is gathered in one task.
 
@@ -40,7 +40,7 @@ from tidemark.llm import hashing
 from tidemark.llm.shared import chunks, text_buffers, written
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 32
-SMALL, PIVOTS, BROADCAST_ROWS, CHUNK, SALTS = 8, 256, 500_000, 1 << 21, 32
+SMALL, PIVOTS, INSIDE, BROADCAST_ROWS, CHUNK, SALTS = 8, 256, 24, 500_000, 1 << 21, 32
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -210,10 +210,13 @@ def classes(
     roots = components(links)
     if not hot.isEmpty():
         done = written(ranked.select("key", F.col("pivot").alias("node")), "pivots")
+        inside = True
         while True:
-            new, done = _further(hot, roots, done)
+            # First more pivots from within the largest components, which bring most others in; then every other node is one.
+            new, done = (_inside(hot, roots, company), done) if inside else _further(hot, roots, done)
             if new is None:
                 break
+            inside = False
             new = new.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
             new = written(new.join(tested.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "a", "b"), "pairs")
             tested = tested.unionAll(new)
@@ -227,6 +230,17 @@ def classes(
     return out.select(F.col("_id").alias(id_column), F.col("_class").alias("class_id")), links
 
 
+def _inside(hot: DataFrame, roots: DataFrame, company: DataFrame) -> DataFrame:
+    """Pairs of INSIDE nodes of each hot bucket's largest component, those with the most company, with the nodes outside it."""
+    member = written(hot.select("key", "node").join(company, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    sizes = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    split = member.join(main, "key")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), "node"))
+    pivots = split.filter("root = main").withColumn("i", first).filter(F.col("i") <= INSIDE).select("key", F.col("node").alias("a"))
+    return pivots.join(split.filter("root != main").select("key", F.col("node").alias("b")), "key").select("a", "b").distinct()
+
+
 def _further(hot: DataFrame, roots: DataFrame, done: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Pairs of the next pivots of each hot bucket, and the pivots so far; None if every bucket is worked off."""
     member = hot.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
