@@ -42,7 +42,7 @@ from tidemark.llm import hashing
 from tidemark.llm.quality import labelled
 from tidemark.llm.shared import chunks, fold, text_buffers
 
-SAMPLE, LANDMARKS, LONG, CHUNK = 6000, 64, 32, 1 << 22
+SAMPLE, LANDMARKS, LONG, CHUNK = 4000, 64, 32, 1 << 22
 STRETCHES = (-1, 2)
 ORDER, DECAY, NEAR, SHARE, RIDGE, SPELLED, FULL, FAIR, PUT_IN = 3, 0.8, 0.6, 0.75, 1e-3, 4, 0.9, 0.6, 0.2
 #: Digits and signs that are written for letters.
@@ -174,17 +174,25 @@ def sentences(data: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) ->
     return known // (int(sentence.max()) + 2), out
 
 
-def find_landmarks(words: list[set[bytes]], labels: list[int], most: int = LANDMARKS) -> list[bytes]:
-    """Strings that begin words of many toxic documents and hardly any others, by greedy weighted cover of the toxic documents."""
-    begins = [{w[:k] for w in ws for k in range(4, min(len(w), 10) + 1)} for ws in words]
-    clean = Counter(x for b, y in zip(begins, labels, strict=True) if not y for x in b)
-    where: dict[bytes, set[int]] = {}
-    for i, (b, y) in enumerate(zip(begins, labels, strict=True)):
+def _begins(raw: bytes) -> set[bytes]:
+    """Beginnings, of four to ten bytes, of the text's words."""
+    _, _, _, rows = word_rows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return {w[:k] for w in (r.tobytes().rstrip(b"\0") for r in rows) for k in range(4, min(len(w), 10) + 1)}
+
+
+def find_landmarks(raw: list[bytes], labels: list[int], most: int = LANDMARKS) -> list[bytes]:
+    """Strings that begin words of many toxic documents and hardly any others, by greedy weighted cover of the toxic documents.
+
+    Only beginnings that enough toxic documents share are looked for in the clean ones."""
+    where: dict[bytes, list[int]] = {}
+    for i, (r, y) in enumerate(zip(raw, labels, strict=True)):
         if y:
-            for x in b:
-                where.setdefault(x, set()).add(i)
+            for x in _begins(r):
+                where.setdefault(x, []).append(i)
     least = max(4, sum(labels) // 25)
-    where = {x: v for x, v in where.items() if len(v) >= least and clean[x] <= 0.02 * len(v)}
+    where = {x: set(v) for x, v in where.items() if len(v) >= least}
+    clean = Counter(x for r, y in zip(raw, labels, strict=True) if not y for x in _begins(r) & where.keys())
+    where = {x: v for x, v in where.items() if clean[x] <= 0.02 * len(v)}
     # A document counts half as much each time it is covered, so that strings which stand beside others are found, too.
     left, out = dict.fromkeys((i for i, y in enumerate(labels) if y), 1.0), []
     while where and len(out) < most:
@@ -258,11 +266,7 @@ def fit(rows: list[tuple[str, int]], most: int = LANDMARKS) -> Model:
     if len(set(labels.tolist())) < 2:
         return nothing
     raw = [t.encode() for t, _ in rows]
-    words: list[set[bytes]] = []
-    for r in raw:
-        _, _, _, table = word_rows(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
-        words.append({w.tobytes().rstrip(b"\0") for w in table})
-    landmarks = find_landmarks(words, labels.tolist(), most)
+    landmarks = find_landmarks(raw, labels.tolist(), most)
     if not landmarks:
         return nothing
     gram = np.array([[float(alike(np.frombuffer(a, np.uint8)[None, :], b)[0]) for b in landmarks] for a in landmarks])
