@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import hashing
 from tidemark.llm.shared import chunks, fold, text_buffers
 
-BITS, SAMPLE, EPOCHS, CHUNK = 20, 6000, 4, 1 << 21
+BITS, SAMPLE, EPOCHS, CHUNK = 20, 4000, 4, 1 << 21
 RATE, BETA, L1, L2, SCALE = 0.5, 1.0, 0.001, 0.05, 8.0
 _OTHER = np.array([c if 33 <= c <= 126 and not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122) else 0 for c in range(256)], np.uint8)
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
