@@ -10,13 +10,13 @@ an arc for each known token and one for unknown ones. A text starts in the state
 traversal from left to right takes an arc, or the failure arc and one of the root's, for each token.
 
 Counts are of the whole corpus, and are never brought together in one place:
-1. Texts become blocks, written once: each keeps its texts as numbers into its own distinct tokens,
-   and lists its distinct tokens and pairs, with their counts in its training texts, by bucket, a
-   hash of the token or pair. A hot token is once in a block's list.
+1. Texts become blocks. A block lists its distinct tokens and pairs, with their counts in its
+   training texts, by bucket, a hash of the token or pair. A hot token is once in a block's list.
 2. Lists meet by bucket, where the counts of all blocks are added, and go back as totals in the
    order of the list; N and V are sums over blocks and buckets.
-3. Texts and totals meet by block, which builds the part of the automaton that its texts can reach
-   and traverses it.
+3. The blocks are made again, as texts of numbers into their distinct tokens, and meet the totals.
+   Each builds the part of the automaton that its texts can reach and traverses it. A block that is
+   not what it was the first time (rows that come in other parts, as after a shuffle) is an error.
 Tokens are known by 64-bit hashes, pairs by 48 bits and their bucket.
 
 Defined results: null and empty texts are one end; without training documents all counts are 0,
@@ -27,6 +27,8 @@ rows are each scored and counted; a null id's fold is that of empty text; other
 from __future__ import annotations
 
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ from tidemark.llm import hashing
 from tidemark.llm.bpe import _ESCAPE, _pack, _planes, _unpack, _whole
 from tidemark.llm.shared import chunks, text_buffers, written
 
-BLOCK_BYTES, BUCKETS_A_TASK, DISCOUNT, PRIOR = 10_000_000, 2, 0.7, 200.0
+BLOCK_BYTES, BUCKETS_A_TASK, DISCOUNT, PRIOR = 2_000_000, 2, 0.7, 200.0
 _END = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64((1 << 48) - 1)
 _KIND = "block long, bucket int, payload binary, tokens long, kinds long"
@@ -84,36 +86,42 @@ def _whole8(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-def _block(ids: pa.Array, training: np.ndarray, data: np.ndarray, offsets: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
+def _block(ids: pa.Array, training: np.ndarray, data: np.ndarray, offsets: np.ndarray, block: int, buckets: int, lists: bool) -> pa.RecordBatch:
+    """A block's lists, or else its texts under bucket -1; both bear the same fingerprint of its distinct tokens."""
     all_tokens, count = tokens(data, offsets)
     known, codes = np.unique(np.r_[all_tokens, _END], return_inverse=True)
     codes = codes[:-1].astype(np.uint32)
-    mine = np.repeat(training, count)
-    seen = np.bincount(codes[mine], minlength=len(known))
-    end = int(np.searchsorted(known, _END))
-    bucket2, key2, place = pair_keys(known, before(codes, count, end), codes, buckets)
-    seen2 = np.bincount(place[mine], minlength=len(key2))
-    common = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
-    rank = np.empty(len(known), np.uint32)
-    rank[common] = np.arange(len(known), dtype=np.uint32)
-    ranked = rank[codes]
-    low, rest = np.minimum(ranked, _ESCAPE).astype(np.uint8), ranked[ranked >= _ESCAPE]
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("id", ids.type), ("training", pa.bool_())])) as w:
-        w.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(training)], ["id", "training"]))
-    body = _pack(sink.getvalue().to_pybytes(), count.astype(np.uint32), low, _planes(rest), _planes8(known), _planes(common.astype(np.uint32)))
-    rows = [(block, -1, body, int(mine.sum()), 0)]
-    bucket1 = (known >> np.uint64(32)) % np.uint64(buckets)
-    order1 = np.argsort(bucket1, kind="stable")
-    at1, at2 = np.searchsorted(bucket1[order1], np.arange(buckets + 1)), np.searchsorted(bucket2, np.arange(buckets + 1))
-    for b in range(buckets):
-        one, two = order1[at1[b] : at1[b + 1]], slice(at2[b], at2[b + 1])
-        if len(one) or at2[b + 1] > at2[b]:
-            rows.append((block, b, _pack(_planes8(known[one]), _planes(seen[one]), _planes8(_gaps(key2[two])), _planes(seen2[two])), 0, 0))
+    print_ = np.array([zlib.crc32(known.tobytes()), zlib.crc32(codes.tobytes())], np.uint32)
+    if not lists:
+        common = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.uint32)
+        rank[common] = np.arange(len(known), dtype=np.uint32)
+        ranked = rank[codes]
+        low, rest = np.minimum(ranked, _ESCAPE).astype(np.uint8), ranked[ranked >= _ESCAPE]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("id", ids.type), ("training", pa.bool_())])) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(training)], ["id", "training"]))
+        rows = [(block, -1, _pack(print_, sink.getvalue().to_pybytes(), count.astype(np.uint32), low, _planes(rest), _planes8(known), _planes(common.astype(np.uint32))), 0, 0)]
+    else:
+        mine = np.repeat(training, count)
+        seen = np.bincount(codes[mine], minlength=len(known))
+        end = int(np.searchsorted(known, _END))
+        bucket2, key2, place = pair_keys(known, before(codes, count, end), codes, buckets)
+        seen2 = np.bincount(place[mine], minlength=len(key2))
+        bucket1 = (known >> np.uint64(32)) % np.uint64(buckets)
+        order1 = np.argsort(bucket1, kind="stable")
+        at1, at2 = np.searchsorted(bucket1[order1], np.arange(buckets + 1)), np.searchsorted(bucket2, np.arange(buckets + 1))
+        rows, left = [], int(mine.sum())
+        for b in range(buckets):
+            one, two = order1[at1[b] : at1[b + 1]], slice(at2[b], at2[b + 1])
+            if len(one) or at2[b + 1] > at2[b]:
+                # The block's training tokens go with its first list.
+                rows.append((block, b, _pack(print_, _planes8(known[one]), _planes(seen[one]), _planes8(_gaps(key2[two])), _planes(seen2[two])), left, 0))
+                left = 0
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def _blocks(buckets: int, block_bytes: int):
+def _blocks(buckets: int, block_bytes: int, lists: bool):
     def run(batches):
         from pyspark import TaskContext
 
@@ -122,7 +130,7 @@ def _blocks(buckets: int, block_bytes: int):
         def flush():
             table = pa.Table.from_batches(held).combine_chunks()
             data, offsets = text_buffers(table.column(2))
-            for lo, hi in chunks(offsets, 2 * block_bytes):
+            for lo, hi in chunks(offsets, block_bytes):
                 ids = table.column(0).slice(lo, hi - lo).combine_chunks()
                 training = table.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 yield ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, training, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -132,12 +140,12 @@ def _blocks(buckets: int, block_bytes: int):
             size += batch.nbytes
             if size >= block_bytes:
                 for x in flush():
-                    yield _block(*x, (part << 24) + n, buckets)
+                    yield _block(*x, (part << 24) + n, buckets, lists)
                     n += 1
                 held, size = [], 0
         if sum(b.num_rows for b in held):
             for x in flush():
-                yield _block(*x, (part << 24) + n, buckets)
+                yield _block(*x, (part << 24) + n, buckets, lists)
                 n += 1
 
     return run
@@ -160,7 +168,7 @@ def _totals(buckets: int):
                 n = len(x[1 + 2 * kind])
                 parts.append(_planes(np.minimum(out[kind][0][at[kind] : at[kind] + n], 0xFFFFFFFF).astype(np.uint32)))
                 at[kind] += n
-            yield x[0], bucket, _pack(*parts), 0, out[0][1] if i == 0 else 0
+            yield x[0], bucket, _pack(x[5], *parts), x[6], out[0][1] if i == 0 else 0
 
     def run(batches):
         bucket, lists = None, []
@@ -170,8 +178,8 @@ def _totals(buckets: int):
                     if lists:
                         yield from _rows(finish(bucket, lists))
                     bucket, lists = row["bucket"], []
-                k1, c1, k2, c2 = _unpack(row["payload"], 4)
-                lists.append((row["block"], _whole8(k1), _whole(c1), np.cumsum(_whole8(k2)), _whole(c2)))
+                print_, k1, c1, k2, c2 = _unpack(row["payload"], 5)
+                lists.append((row["block"], _whole8(k1), _whole(c1), np.cumsum(_whole8(k2)), _whole(c2), print_, row["tokens"]))
         if lists:
             yield from _rows(finish(bucket, lists))
 
@@ -202,7 +210,7 @@ class Automaton:
 
 def _scored(buckets: int, n: int, v: int, discount: float, prior: float):
     def finish(body: bytes, parts: dict[int, bytes]):
-        head, count, low, rest, known, common = _unpack(body, 6)
+        print_, head, count, low, rest, known, common = _unpack(body, 7)
         ids = pa.ipc.open_stream(head).read_all().combine_chunks()
         count, known = np.frombuffer(count, np.uint32).astype(np.int64), _whole8(known)
         ranked = np.frombuffer(low, np.uint8).astype(np.uint32)
@@ -212,10 +220,12 @@ def _scored(buckets: int, n: int, v: int, discount: float, prior: float):
         state = before(codes, count, end)
         bucket2, key2, place = pair_keys(known, state, codes, buckets)
         bucket1 = (known >> np.uint64(32)) % np.uint64(buckets)
-        totals = [_unpack(parts[b], 2) for b in sorted(parts)]
+        totals = [_unpack(parts[b], 3) for b in sorted(parts)]
+        if any(x[0] != print_ for x in totals):
+            raise ValueError("the rows came in other parts when they were read again; write them as a table first")
         seen = np.zeros(len(known), np.int64)
-        seen[np.argsort(bucket1, kind="stable")] = np.concatenate([_whole(x[0]) for x in totals])
-        seen2 = np.concatenate([_whole(x[1]) for x in totals]).astype(np.int64)
+        seen[np.argsort(bucket1, kind="stable")] = np.concatenate([_whole(x[1]) for x in totals])
+        seen2 = np.concatenate([_whole(x[2]) for x in totals]).astype(np.int64)
         first, second = np.zeros(len(key2), np.int64), np.zeros(len(key2), np.int64)
         first[place], second[place] = state, codes
         steps = Automaton(seen, seen2, first, second, n, v, discount, prior).walk(state, codes, place)
@@ -249,12 +259,11 @@ def score(docs: DataFrame, training, id_column: str = "doc_id", text_column: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_A_TASK * parts
     source = docs.select(F.col(f"`{id_column}`").alias("_id"), training.alias("_training"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("_text"))
-    blocks = written(source.mapInArrow(_blocks(buckets, block_bytes), _KIND), "lm-blocks")
-    lists = blocks.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    lists = source.mapInArrow(_blocks(buckets, block_bytes, True), _KIND).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     totals = written(lists.mapInArrow(_totals(buckets), _KIND), "lm-totals")
-    n = blocks.filter("bucket < 0").agg(F.sum("tokens")).head()[0] or 0
-    v = totals.agg(F.sum("kinds")).head()[0] or 0
-    meet = blocks.filter("bucket < 0").unionAll(totals).repartition(parts, "block").sortWithinPartitions("block", "bucket")
+    n, v = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("kinds")).head())
+    bodies = source.mapInArrow(_blocks(buckets, block_bytes, False), _KIND)
+    meet = bodies.unionAll(totals).repartition(parts, "block").sortWithinPartitions("block", "bucket")
     kind = f"_id {source.schema['_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return meet.mapInArrow(_scored(buckets, n, v, discount, prior), kind).withColumnRenamed("_id", id_column)
 
