@@ -113,3 +113,16 @@ def test_language_held_out(spark):
     assert all(r["lang_pred"] == "und" and r["rejected"] for r in rows if r["lang"] is None)
     assert language.dictionaries(train.limit(0)) == {}
     assert {r["lang_pred"] for r in language.classify(df, {}, ["doc_id"]).collect()} == {"und"}
+
+
+def test_every_part_of_a_long_text_counts():
+    rng = random.Random(6)
+
+    def words(letters):
+        known = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+        return lambda size: " ".join(rng.choice(known) for _ in range(size // 6 + 1))[:size]
+
+    a, b = words("abcdefghijklm"), words("nopqrstuvwxyz")
+    classify = language.Classifier({"aa": a(1 << 17).encode(), "bb": b(1 << 17).encode()})
+    assert classify(a(300_000) + " " + b(1_500_000))[0] == "bb"
+    assert classify(b(300_000) + " " + a(1_500_000))[0] == "aa"

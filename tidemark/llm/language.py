@@ -1,7 +1,8 @@
 """Operator 9: language identification by compression with per-language zstandard raw-content dictionaries.
 
 A text is lower-cased, everything but letters becomes a blank, and each language's dictionary is
-used to compress it whole; the language that makes it smallest wins. Blanks put before the text
+used to compress it whole, in pieces of PIECE bytes that fit the window beside the dictionary, so that
+every byte counts alike; the language with the smallest sum of sizes wins. Blanks put before each piece
 make zstandard write a compressed block even for a few words, so that sizes of short texts can
 differ. Where the two smallest sizes are within NARROW bytes (or half a percent), two more parsers
 compress the text, one with three-byte matches, and the sums of the sizes decide. The score is a softmax
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.shared import fold
 
-SAMPLE, LONG, DICT_BYTES = 150, 8192, 1 << 17
+SAMPLE, LONG, DICT_BYTES, PIECE = 150, 8192, 1 << 17, 1 << 16
 NARROW, REJECT, ENOUGH, TEMPERATURE = 3, 0.5, 40, 2.0
 _PAD = b" " * 64
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -86,14 +87,14 @@ class Classifier:
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, True
         content = normalised(text)
-        padded = _PAD + content
-        sizes = [len(c.compress(padded)) for c in self.parsers[0]]
+        pieces = [_PAD + content[i : i + PIECE] for i in range(0, len(content), PIECE)]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.parsers[0]]
         ranked = sorted(sizes)
         n = 1
         if len(ranked) > 1 and ranked[1] - ranked[0] <= NARROW + ranked[0] // 200:
             n = len(self.parsers)
             for row in self.parsers[1:]:
-                sizes = [s + len(c.compress(padded)) for s, c in zip(sizes, row, strict=True)]
+                sizes = [s + sum(len(c.compress(p)) for p in pieces) for s, c in zip(sizes, row, strict=True)]
         best = min(sizes)
         score = 1 / sum(math.exp(max(-700.0, (best - s) / n / TEMPERATURE)) for s in sizes)
         return self.langs[sizes.index(best)], score, score < REJECT and len(content) >= ENOUGH
