@@ -81,3 +81,17 @@ def test_queries_score_every_row(spark):
         assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.collect())
         assert all(0 <= r["score"] <= 1 for r in got)
         assert module.score(docs.limit(0), model).count() == 0
+
+
+def test_one_character_put_in_short_insults():
+    rng, insults = random.Random(8), ["scum", "moron", "loser", "idiot", "stupid"]
+    rows = [(t, y) for _, t, _, y in corpus(8) if not y]
+    rows += [(f"{rng.choice(insults)} {t} {rng.choice(insults)}.", 1) for t, _ in rows[:150]]
+    model = toxicity.fit(rows)
+    for z in insults:
+        for i in range(1, len(z)):
+            for c in "xé":
+                assert one(model, f"such a {z[:i]}{c}{z[i:]} here") >= 0.7, (z, i, c)
+    assert sum(one(model, t) >= 0.7 for t, y in rows if not y) == 0
+    for text in ("sum", "mor", "lost", "studio", "idol", "smug"):
+        assert one(model, text) < 0.7, text

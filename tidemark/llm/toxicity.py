@@ -16,7 +16,9 @@ probability by Platt's method on the documents of the sample.
 
 Most words share too few letters with a landmark to be near it; a kernel value is computed only where
 a word has three quarters of the landmark's letters, and what a value has over NEAR counts, from 0 to
-1, so that many words that are a little near do not add up. Both are part of the definition of the
+1, so that many words that are a little near do not add up. One character put inside takes more from
+a short landmark's kernel than from a long one's (nearly all of it from one of four letters), so a stretch that is a
+landmark with one character put in is normalised by what that costs: its value is 1. All of this is part of the definition of the
 features, for training as for scoring.
 
 The sample is bounded: at most SAMPLE labelled documents, those with the smallest hash of the id.
@@ -127,6 +129,22 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return text, sentence, number, rows
 
 
+def put_in(stretch: np.ndarray, z: bytes) -> np.ndarray:
+    """Whether each row is z with one character, of one byte or two, put inside."""
+    whole = np.frombuffer(z, np.uint8)
+    more = stretch.shape[1] - len(z)
+    if more not in (1, 2):
+        return np.zeros(len(stretch), bool)
+    before = np.logical_and.accumulate(stretch[:, : len(z)] == whole, axis=1).sum(axis=1)
+    after = np.logical_and.accumulate((stretch[:, more:] == whole)[:, ::-1], axis=1).sum(axis=1)
+    found = (before > 0) & (after > 0) & (before + after >= len(z))
+    if more == 2:
+        i = np.arange(len(stretch))
+        lead, rest = stretch[i, np.minimum(before, len(z))], stretch[i, np.minimum(before, len(z)) + 1]
+        found &= (lead >= 0xC2) & (lead < 0xE0) & (rest >= 0x80) & (rest < 0xC0)
+    return found
+
+
 def near(rows: np.ndarray, landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, landmark, value) of words near a landmark; a word's kernel is that of its stretch that is most alike."""
     bits = np.where(rows > 0, _BIT[rows], np.uint64(0))
@@ -147,7 +165,7 @@ def near(rows: np.ndarray, landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarr
             i, at = np.nonzero(inside & (np.bitwise_count(part & mask) >= need))
             if len(i):
                 stretch = rows[some[i][:, None], at[:, None] + np.arange(size)[None, :]]
-                np.maximum.at(best, i, alike(stretch, z))
+                np.maximum.at(best, i, np.where(put_in(stretch, z), 1.0, alike(stretch, z)))
         hit = best >= NEAR
         found.append((some[hit], np.full(hit.sum(), j), (best[hit] - NEAR) / (1 - NEAR)))
     if not found:
@@ -287,13 +305,13 @@ def fit(rows: list[tuple[str, int]], most: int = LANDMARKS) -> Model:
     whole[at[full]] = True
     spare = bad & ~whole[at] & (raw_x.max(axis=1) >= FAIR)
     score = raw_x.max(axis=1)
-    # Landmarks with a foreign letter put in are toxic, too, so that the machine learns how far one lowers the kernel.
-    put_in = [z[:i] + b"x" + z[i:] for z in landmarks for i in range(1, len(z))]
-    made = np.zeros((len(put_in), LONG), np.uint8)
-    for i, z in enumerate(put_in):
+    # Landmarks with a foreign letter put in are toxic, too, whether or not the sample has them.
+    foreign = [z[:i] + b"x" + z[i:] for z in landmarks for i in range(1, len(z))]
+    made = np.zeros((len(foreign), LONG), np.uint8)
+    for i, z in enumerate(foreign):
         made[i, : min(LONG, len(z))] = np.frombuffer(z[:LONG], np.uint8)
     row, j, value = near(made, landmarks)
-    spelt = np.zeros((len(put_in), len(landmarks)))
+    spelt = np.zeros((len(foreign), len(landmarks)))
     spelt[row, j] = value
     spelt = spelt[spelt.max(axis=1) > 0] @ root
     # One sentence without a near word stands for all such sentences of clean documents.
