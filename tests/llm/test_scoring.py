@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import scoring
@@ -49,3 +51,13 @@ def test_against_brute_force(spark, block):
 
 def test_empty_table(spark):
     assert scoring.score(spark.createDataFrame([], "doc_id long, text string"), fold("doc_id", 10) != 0).count() == 0
+
+
+def test_totals_over_32_bits():
+    key = np.array([7], np.uint64)
+    count = scoring._planes(np.array([3_000_000_000], np.uint32))
+    payload = scoring._pack(b"p", scoring._planes8(key), count, scoring._planes8(scoring._gaps(key)), count)
+    lists = pa.RecordBatch.from_pylist([{"block": i, "bucket": 0, "payload": payload, "tokens": 1} for i in range(2)])
+    for batch in scoring._totals(1)([lists]):
+        _, single, pair = scoring._unpack(batch.column(scoring._SCHEMA.names.index("payload"))[0].as_py(), 3)
+        assert scoring._whole8(single).tolist() == scoring._whole8(pair).tolist() == [6_000_000_000]

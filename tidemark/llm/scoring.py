@@ -166,7 +166,7 @@ def _totals(buckets: int):
             parts = []
             for kind in (0, 1):
                 n = len(x[1 + 2 * kind])
-                parts.append(_planes(np.minimum(out[kind][0][at[kind] : at[kind] + n], 0xFFFFFFFF).astype(np.uint32)))
+                parts.append(_planes8(out[kind][0][at[kind] : at[kind] + n]))
                 at[kind] += n
             yield x[0], bucket, _pack(x[5], *parts), x[6], out[0][1] if i == 0 else 0
 
@@ -224,8 +224,8 @@ def _scored(buckets: int, n: int, v: int, discount: float, prior: float):
         if any(x[0] != print_ for x in totals):
             raise ValueError("the rows came in other parts when they were read again; write them as a table first")
         seen = np.zeros(len(known), np.int64)
-        seen[np.argsort(bucket1, kind="stable")] = np.concatenate([_whole(x[1]) for x in totals])
-        seen2 = np.concatenate([_whole(x[2]) for x in totals]).astype(np.int64)
+        seen[np.argsort(bucket1, kind="stable")] = np.concatenate([_whole8(x[1]) for x in totals])
+        seen2 = np.concatenate([_whole8(x[2]) for x in totals]).astype(np.int64)
         first, second = np.zeros(len(key2), np.int64), np.zeros(len(key2), np.int64)
         first[place], second[place] = state, codes
         steps = Automaton(seen, seen2, first, second, n, v, discount, prior).walk(state, codes, place)
