@@ -44,3 +44,21 @@ def test_fewer_candidates_than_k_and_empty(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 3, 1.0), (0, 2, 20, 0.0), (20, 1, 3, 1.0), (20, 2, 0, 0.0)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_rows_and_many_copies(spark):
+    """A query row that stands twice, one id 22 times with the query's vector, an id with two vectors, and 40 copies of one vector."""
+    rng = np.random.default_rng(3)
+    data = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in range(1, 400)]
+    data += [(20, data[19][1])] * 3 + [(7, data[39][1])] * 22 + [(900 + i, data[39][1]) for i in range(40)] + [(5, [9.0 + i, 9.0, 9.0, 9.0]) for i in range(30)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, x in {i: np.array(min(v for j, v in data if j == i)) for i, _ in data if i % 20 == 0}.items():
+        best = {}
+        for i, v in data:
+            if i != q:
+                best[i] = max(best.get(i, -1e9), float((np.array(v) * x).sum()))
+        want = [i for i, _ in sorted(best.items(), key=lambda y: (-y[1], y[0]))[:20]]
+        assert len(set(got[q])) == 20 and len(set(got[q]) & set(want)) >= 18, q

@@ -10,14 +10,21 @@ next, until as many leaves are visited as calibration asks for and they hold eno
 Calibration: the exact neighbours of at most CALIBRATION queries are found by brute force over all
 vectors, and the number of leaves is widened until TARGET of these are in the visited leaves.
 
-Queries meet candidates by leaf. A leaf of more than PART vectors, or visited by more than PART
-queries, is dealt out in parts, so no group is larger. Of vectors that are alike in every component
-the k + 1 smallest ids are candidates, as no more of them can be among a query's k nearest.
+Queries meet candidates by part: neighbouring leaves of the tree, PART vectors together at most, or a share
+of a larger leaf. A query goes to a part with the list of its leaves there, and brings back the best k of
+all of them. The part of its nearest leaf comes first; the score of the last of k found there is the bar,
+and the other parts send back only what reaches it. Parts visited by more than PART queries are dealt out, too,
+so no group is larger. Scores are made twice: in blocks, to choose, and for what is chosen once more
+vector by vector, so that like vectors have like scores.
+
+Of vectors that are alike in every component the k + 1 smallest ids are candidates, as no more of them can
+be among a query's k nearest.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those whose
 length is not the commonest, take no part; ties go to the smaller id; rows with a query's own id are
 not its neighbours; a query with fewer candidates than k gets them all; rows with a null id take
-no part; repeated rows are candidates once for each row; other columns are not read.
+no part; repeated rows are one; an id with several vectors is one neighbour with the best of its scores, and as
+a query has the least of its vectors; other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,34 +117,64 @@ def _wider(x: np.ndarray, most: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))]
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= bar)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
-def _pairs(query_ids, queries, ids, vectors, k: int) -> pa.Table:
-    """(query_id, vec_id, score): the k best of these vectors for each query, itself left out."""
+def _chosen(query: np.ndarray, own: int, scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bar: float, repeated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the best k of a block, the query itself left out, as far as they reach the bar."""
+    slack = 1e-9 * (1 + np.abs(scores[np.isfinite(scores)]).max(initial=0.0))
+    some = np.flatnonzero((scores >= bar - slack) & np.isfinite(scores) & (ids != own))
+    if len(some) > 4 * k and not repeated:
+        least = np.partition(scores[some], len(some) - k)[len(some) - k]
+        some = some[scores[some] >= least - slack]
+    exact = (vectors[some] * query).sum(axis=1)
+    order = np.lexsort((ids[some], -exact))
+    if repeated:
+        # An id with several vectors takes one place.
+        order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])]
+    keep = order[:k]
+    return some[keep], exact[keep]
+
+
+def _block(query_ids, queries, bars, leaves, ids, vectors, leaf, k: int) -> pa.Table:
+    """(query_id, vec_id, score): for each query the best of the vectors in its leaves (null: in all), as far as they reach its bar."""
     out = []
+    repeated = len(np.unique(ids)) < len(ids)
+    where = {int(x): np.flatnonzero(leaf == x) for x in np.unique(leaf)} if leaves is not None else {}
     for at in range(0, len(query_ids), 256):
-        product = queries[at : at + 256] @ vectors.T
-        for i, q in enumerate(query_ids[at : at + 256]):
-            other = np.flatnonzero(ids != q)
-            best = other[_top(ids[other], product[i][other], k)]
-            out.append((np.full(len(best), q), ids[best], product[i][best]))
+        q = queries[at : at + 256]
+        if leaves is None:
+            scores = q @ vectors.T
+        else:
+            scores = np.full((len(q), len(ids)), -np.inf)
+            asked: dict[int, list[int]] = {}
+            for i, some in enumerate(leaves[at : at + 256]):
+                for x in some:
+                    asked.setdefault(x, []).append(i)
+            for x, rows in asked.items():
+                if x in where:
+                    scores[np.ix_(rows, where[x])] = q[rows] @ vectors[where[x]].T
+        for i, own in enumerate(query_ids[at : at + 256]):
+            place, exact = _chosen(q[i], own, scores[i], ids, vectors, k, -np.inf if bars is None else bars[at + i], repeated)
+            out.append((np.full(len(place), own), ids[place], exact, place))
     if not out:
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "place": pa.array([], pa.int64())})
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score", "place"), columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
+def _best(found: DataFrame, k: int, *more: str) -> DataFrame:
+    one = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", *more)).alias("_x")).select("query_id", "vec_id", "_x.*")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def parted(counts: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each leaf its part and how many shares the part has: leaves in the tree's order, put together up to most vectors."""
+    out, part, held = {}, 0, 0
+    for x in sorted(counts):
+        if held and held + counts[x] > most:
+            part, held = part + 1, 0
+        held += counts[x]
+        out[x] = (part, -(-counts[x] // most))
+    return out
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -176,10 +213,10 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(where, pa.int32())], ["vec_id", "v", "leaf"])
 
     alike = Window.partitionBy("v").orderBy("vec_id")
-    candidates = rows.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n")
+    candidates = rows.distinct().withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n")
     indexed = written(candidates.mapInArrow(put, "vec_id long, v array<double>, leaf int"), "ann-index")
     counts = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
 
     # How many leaves the exact neighbours of some queries lie in.
     tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(calibration).toArrow()
@@ -189,46 +226,59 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
     def brute(batches):
         ids, q = trial.value
         for b in batches:
-            place = {v: l for v, l in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
-            t = _pairs(ids, q, b.column(0).to_numpy(), _matrix(b.column(1)), k)
-            yield from t.append_column("leaf", pa.array([place[v] for v in t.column(1).to_pylist()], pa.int32())).to_batches()
+            t = _block(ids, q, None, None, b.column(0).to_numpy(), _matrix(b.column(1)), None, k)
+            yield from t.select(["query_id", "vec_id", "score"]).append_column("leaf", b.column(2).take(t.column("place").combine_chunks())).to_batches()
 
-    exact = _best(indexed.mapInArrow(brute, kind + ", leaf int"), k).collect()
+    exact = _best(indexed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int"), k, "leaf").collect()
     order = {int(q): {l: n for n, l in enumerate(tree.search(np.r_[x, 0.0]), 1)} for q, x in zip(some_ids, some, strict=True)}
     needed = sorted(order[r["query_id"]][r["leaf"]] for r in exact)
     visits = needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] if needed else 1
+    part_of = parted(counts, PART)
 
     def visit(batches):
         for b in batches:
-            at, leaves = [], []
+            at, parts, leaves, first = [], [], [], []
             for i, x in enumerate(_matrix(b.column(1))):
-                held = 0
+                held, mine = 0, {}
                 for n, l in enumerate(the_tree().search(np.r_[x, 0.0])):
                     if n >= visits and held > k:
                         break
                     held += counts.get(l, 0)
                     if counts.get(l):
-                        at.append(i)
-                        leaves.append(l)
+                        mine.setdefault(part_of[l][0], []).append(l)
+                for j, (p, some_leaves) in enumerate(mine.items()):
+                    at.append(i)
+                    parts.append(p)
+                    leaves.append(some_leaves)
+                    first.append(j == 0)
             at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int32())], ["query_id", "q", "leaf"])
+            columns = [b.column(0).take(at), b.column(1).take(at), pa.array(parts, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), pa.array(first, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "part", "leaves", "first"])
 
-    visited = written(queries.mapInArrow(visit, "query_id long, q array<double>, leaf int"), "ann-visits")
-    asked = {r["leaf"]: r["n"] for r in visited.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Parts of large leaves, of both sides; the two tables are as long as the tree has leaves.
-    deal = [(l, -(-counts[l] // PART), -(-asked.get(l, 1) // PART)) for l in counts]
-    parts = F.broadcast(spark.createDataFrame(deal, "leaf int, c int, a int"))
-    left = visited.join(parts, "leaf").withColumn("y", F.pmod(F.xxhash64("query_id"), F.col("a")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("leaf", "x", "y", "query_id", "q")
-    right = indexed.join(parts, "leaf").withColumn("x", F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).select("leaf", "x", "y", "vec_id", "v")
+    visited = written(queries.mapInArrow(visit, "query_id long, q array<double>, part int, leaves array<int>, first boolean"), "ann-visits")
+    # Shares of large parts, of both sides; the tables are as long as the tree has leaves.
+    leaf_parts = F.broadcast(spark.createDataFrame([(l, p, c) for l, (p, c) in part_of.items()], "leaf int, part int, c int"))
+    shares = {p: c for p, c in part_of.values()}
+    right = indexed.join(leaf_parts, "leaf").withColumn("x", F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
-            return _pairs([], None, None, None, k)
+            return _block([], None, None, None, np.zeros(0, np.int64), None, None, k).select(["query_id", "vec_id", "score"])
         a, b = a.combine_chunks(), b.combine_chunks()
-        return _pairs(a["query_id"].to_numpy(), _matrix(a["q"].combine_chunks()), b["vec_id"].to_numpy(), _matrix(b["v"].combine_chunks()), k)
-
-    found = left.groupBy("leaf", "x", "y").cogroup(right.groupBy("leaf", "x", "y")).applyInArrow(meet, kind)
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        t = _block(a["query_id"].to_numpy(), _matrix(a["q"].combine_chunks()), a["bar"].to_numpy(), a["leaves"].to_pylist(), b["vec_id"].to_numpy(), _matrix(b["v"].combine_chunks()), b["leaf"].to_numpy(), k)
+        return t.select(["query_id", "vec_id", "score"])
+
+    def turn(asking: DataFrame) -> DataFrame:
+        asked = {r["part"]: r["n"] for r in asking.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        deal = F.broadcast(spark.createDataFrame([(p, c, -(-asked.get(p, 1) // PART)) for p, c in shares.items()], "part int, c int, a int"))
+        left = asking.join(deal, "part").withColumn("y", F.pmod(F.xxhash64("query_id"), F.col("a")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("part", "x", "y", "query_id", "q", "leaves", "bar")
+        other = right.join(deal.select("part", "a"), "part").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("a") - 1))).select("part", "x", "y", "vec_id", "v", "leaf")
+        return left.groupBy("part", "x", "y").cogroup(other.groupBy("part", "x", "y")).applyInArrow(meet, kind)
+
+    near = written(turn(visited.filter("first").withColumn("bar", F.lit(float("-inf")))), "ann-near")
+    bars = _best(near, k).groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("bar"))
+    rest = visited.filter("NOT first").join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    return _best(near.unionAll(turn(rest)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark, sf_dir):
