@@ -111,6 +111,9 @@ def test_language_held_out(spark):
     assert len(rows) == len(tests) + len(odd)
     assert sum(r["lang_pred"] == r["lang"] for r in rows if r["lang"]) >= 0.97 * (len(tests) + 1)
     assert all(r["lang_pred"] == "und" and r["rejected"] for r in rows if r["lang"] is None)
+    odd = spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ 12 _ !"), (3, None), (4, ""), (5, "é")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.classify(odd, raw, ["doc_id"]).orderBy("doc_id").collect()] == [True] * 4 + [False]
+    assert language.classify(odd.limit(0), raw, ["doc_id"]).count() == 0
     assert language.dictionaries(train.limit(0)) == {}
     assert {r["lang_pred"] for r in language.classify(df, {}, ["doc_id"]).collect()} == {"und"}
 

@@ -34,6 +34,7 @@ SAMPLE, LONG, DICT_BYTES, PIECE = 150, 8192, 1 << 17, 1 << 16
 NARROW, REJECT, ENOUGH, TEMPERATURE = 3, 0.5, 40, 2.0
 _PAD = b" " * 64
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: Letters, and numbers that are no digits (² ½ Ⅷ), which are told from letters one by one.
 _LETTER = re.compile(r"[^\W\d_]")
 _built: dict = {}
 
@@ -42,6 +43,10 @@ def normalised(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode().translate(_TABLE).split()) + b" "
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict[str, bytes]:
     """Raw content for each language, from the rows of docs that have a language and a text."""
     named = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"), F.col(lang_column).cast("string").alias("_lang")).filter("_lang IS NOT NULL")
@@ -84,7 +89,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0, True
         content = normalised(text)
         pieces = [_PAD + content[i : i + PIECE] for i in range(0, len(content), PIECE)]
