@@ -130,3 +130,34 @@ def test_entry_has_every_sql_and_runs(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_cutoff_assertion_cannot_be_pruned(spark):
+    df = spark.createDataFrame([(1, 1), (2, 9)], "k int, t int")
+    for run in (lambda d: d.count(), lambda d: d.select("k").collect()):
+        with pytest.raises(Exception, match="not before the cutoff"):
+            run(selection.assert_before(df, "t", F.lit(5)))
+    assert selection.assert_before(df, "t", F.lit(10)).count() == 2
+
+
+def test_chains_in_a_circle_are_an_error(spark):
+    for links in ([(0, 3), (1, 0), (2, 1), (3, 2)], [(0, None), (1, 1)], [(0, 1), (1, 2), (2, 0), (5, None)]):
+        with pytest.raises(ValueError):
+            timeline.roots(spark.createDataFrame(links, "id long, up long"), "id", "up")
+
+
+def test_bands_and_errors(spark):
+    df = spark.createDataFrame([(None,), (0,), (90,), (91,), (180,), (181,), (365,), (366,)], "d int")
+    assert [r[0] for r in df.select(S.inactivity_band(F.col("d"))).collect()] == ["COLD_START", "D_LE_90", "D_LE_90", "D_91_180", "D_91_180", "D_181_365", "D_181_365", "D_GT_365"]
+    starts = spark.createDataFrame([(0.0,), (0.5,), (25.0,), (100.0,)], "s double")
+    assert [r[0] for r in starts.select(S.history_band(F.col("s"))).collect()] == ["no_history", "sparse", "intermediate", "substantial"]
+    for column in (S.inactivity_band(F.lit(-1)), S.history_band(F.lit(-1.0)), S.inactivity_factors(F.lit(-1))[0]):
+        with pytest.raises(Exception, match="negative"):
+            df.select(column).collect()
+
+
+def test_crosswalk_by_several_name_keys(spark):
+    a = spark.createDataFrame([(1, ["x|a", "yx|a"], "2024-01-01", "h"), (2, ["z|a"], "2024-01-01", "h"), (3, [], "2024-01-01", "h")], "sid long, keys array<string>, day string, kind string").withColumn("day", F.to_date("day"))
+    b = spark.createDataFrame([(10, ["x|a", "yx|a"], "2024-01-02", "h"), (11, ["z|a"], "2024-01-02", "c")], "oid long, keys array<string>, day string, kind string").withColumn("day", F.to_date("day"))
+    got = {r["sid"]: (r["status"], r["matched_id"]) for r in entity.crosswalk(a, b, ["keys"], "day", 3, 3, ["kind"], "sid", "oid").collect()}
+    assert got == {1: ("MATCHED", 10), 2: ("STRUCTURAL_CONFLICT", None), 3: ("UNMATCHED", None)}

@@ -13,6 +13,12 @@ MISSING = ["", "NA", "N/A", "NAN", "NULL", "NONE"]
 ROUNDS = {"1st round": "R1", "2nd round": "R2", "3rd round": "R3", "4th round": "R4", "quarterfinals": "QF", "semifinals": "SF", "the final": "F"}
 
 
+def round_code(name: Column) -> Column:
+    """A round's code by its other name, or the text itself in capitals."""
+    known = F.create_map(*[F.lit(x) for kv in ROUNDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(name))), F.upper(F.trim(name)))
+
+
 def logistic(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
@@ -50,15 +56,22 @@ def hold(p: Column) -> Column:
     return p**4 * (1 + 4 * q + 10 * q**2) + 20 * p**3 * q**3 * p**2 / (p**2 + q**2)
 
 
+def _not_negative(x: Column, what: str) -> Column:
+    return F.when(x < 0, F.raise_error(F.lit(f"negative {what}")).cast("double")).otherwise(x)
+
+
 def inactivity_factors(days: Column) -> tuple[Column, Column]:
-    """Factors of mean and variance after days without a match, from the ninetieth on."""
+    """Factors of mean and variance after days without a match, from the ninetieth on; negative days are an error, null days have none."""
+    days = _not_negative(days, "days")
     m = F.pow(F.lit(2.0), -F.greatest(F.lit(0), days - 90) / F.lit(180.0))
     m = F.when(days.isNotNull(), m)
     return m, 2 - m * m
 
 
 def inactivity_band(days: Column) -> Column:
-    return F.when(days.isNull(), "COLD_START").when(days <= 90, "ACTIVE").when(days <= 180, "91_180").when(days <= 365, "181_365").otherwise("OVER_365")
+    """Null days are a cold start; negative ones an error."""
+    days = _not_negative(days, "days")
+    return F.when(days.isNull(), "COLD_START").when(days <= 90, "D_LE_90").when(days <= 180, "D_91_180").when(days <= 365, "D_181_365").otherwise("D_GT_365")
 
 
 def intensity(rho: Column) -> Column:
@@ -79,7 +92,9 @@ def competing(a: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def history_band(starts: Column) -> Column:
-    return F.when(starts <= 0, "NO_HISTORY").when(starts < 25, "UNDER_25").when(starts < 100, "25_TO_100").otherwise("100_AND_OVER")
+    """Band of weighted starts; negative ones are an error."""
+    starts = _not_negative(starts, "starts")
+    return F.when(starts == 0, "no_history").when(starts < 25, "sparse").when(starts < 100, "intermediate").when(starts >= 100, "substantial")
 
 
 def no_vig(a: Column, b: Column) -> tuple[Column, Column]:

@@ -45,18 +45,29 @@ def component_counts(rows: DataFrame, keys: list[str], malformed: str | None = N
     """Five rows for each service row: component, successes, trials, status, eligible and anomaly codes.
 
     malformed names an array column of fields that could not be parsed; components that use one are quarantined."""
-    parts = []
-    for name, (hit, of, broken) in _parts().items():
-        fields = INPUTS[name]
-        missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in fields])
-        bad = [(f"NEGATIVE_{c.upper()}", F.col(c) < 0) for c in fields] + broken + [("NEGATIVE_TRIALS", of < 0), ("NEGATIVE_SUCCESSES", hit < 0), ("SUCCESSES_GT_TRIALS", hit > of)]
-        codes = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in bad]))
-        broken_field = F.arrays_overlap(F.col(malformed), F.array(*map(F.lit, fields))) if malformed else F.lit(False)
-        codes = F.when(broken_field, F.array(F.lit("MALFORMED_INPUT"))).when(missing, F.array().cast("array<string>")).otherwise(F.array_distinct(codes))
-        status = F.when(broken_field, "quarantined").when(missing, "missing_input").when(F.size(codes) > 0, "quarantined").when(of == 0, "zero_denominator").otherwise("valid")
-        parts.append(F.struct(F.lit(name).alias("component"), hit.alias("successes"), of.alias("trials"), status.alias("status"), codes.alias("anomaly_codes")))
-    out = rows.select(*keys, F.explode(F.array(*parts)).alias("c")).select(*keys, "c.*")
-    return out.withColumn("eligible", F.col("status") == "valid")
+    fields = sorted({c for names in INPUTS.values() for c in names})
+    out = rows.select(*keys, *fields, *([malformed] if malformed else []), F.explode(F.array(*map(F.lit, INPUTS))).alias("component"))
+
+    def by_component(values: dict[str, Column]) -> Column:
+        case = None
+        for name, value in values.items():
+            case = F.when(F.col("component") == name, value) if case is None else case.when(F.col("component") == name, value)
+        return case
+
+    parts = _parts()
+    tests = {
+        name: [(f"NEGATIVE_{c.upper()}", F.col(c) < 0) for c in INPUTS[name]] + broken + [("NEGATIVE_TRIALS", of < 0), ("NEGATIVE_SUCCESSES", hit < 0), ("SUCCESSES_GT_TRIALS", hit > of)]
+        for name, (hit, of, broken) in parts.items()
+    }
+    # Plain tests say the status; the codes are put together only for what they quarantine, and not at all where nothing reads them.
+    missing = by_component({name: reduce(lambda x, y: x | y, [F.col(c).isNull() for c in INPUTS[name]]) for name in INPUTS})
+    bad = by_component({name: reduce(lambda x, y: x | y, [t for _, t in found]) for name, found in tests.items()})
+    broken_field = by_component({name: F.arrays_overlap(F.col(malformed), F.array(*map(F.lit, INPUTS[name]))) for name in INPUTS}) if malformed else F.lit(False)
+    out = out.select(*keys, *fields, "component", by_component({n: x[0] for n, x in parts.items()}).alias("successes"), by_component({n: x[1] for n, x in parts.items()}).alias("trials"), broken_field.alias("_field"), missing.alias("_missing"), bad.alias("_bad"))
+    status = F.when(F.col("_field"), "quarantined").when(F.col("_missing"), "missing_input").when(F.col("_bad"), "quarantined").when(F.col("trials") == 0, "zero_denominator").otherwise("valid")
+    listed = by_component({name: F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, t in found]))) for name, found in tests.items()})
+    codes = F.when(F.col("_field"), F.array(F.lit("MALFORMED_INPUT"))).when(~F.col("_missing") & F.col("_bad"), listed).otherwise(F.array().cast("array<string>"))
+    return out.select(*keys, "component", "successes", "trials", status.alias("status"), codes.alias("anomaly_codes"), (status == "valid").alias("eligible"))
 
 
 def status_summary(counts: DataFrame) -> DataFrame:

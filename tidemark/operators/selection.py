@@ -23,8 +23,8 @@ def select_before_cutoff(rows: DataFrame, group: str, available: str, cutoff: Co
 
 
 def assert_before(rows: DataFrame, available: str, cutoff: Column) -> DataFrame:
-    """The rows, with an error at run time for any that was not known before the cutoff."""
-    return rows.withColumn(available, F.when(F.col(available) < cutoff, F.col(available)).otherwise(F.raise_error(F.lit(f"{available} is not before the cutoff"))))
+    """The rows, with an error at run time for any that was not known before the cutoff. The check is a filter, so no choice of columns takes it away."""
+    return rows.filter(F.when(F.col(available) < cutoff, F.lit(True)).otherwise(F.raise_error(F.lit(f"{available} is not before the cutoff")).cast("boolean")))
 
 
 def availability(source_date: Column, lag_days: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import shared_folder
+
 DAY = 86_400_000_000
 
 
@@ -53,9 +55,12 @@ def chain(rows: DataFrame, by: list[str], order: str, previous: str, own: str, c
     return rows.withColumn("gapless", F.col(order) == F.row_number().over(w)).withColumn("linked", F.col(previous).eqNullSafe(before)).withColumn("hash_ok", F.col(own) == F.sha2(F.concat_ws("|", F.coalesce(F.col(previous), F.lit("")), content), 256))
 
 
-def roots(rows: DataFrame, row_id: str, parent: str, rounds: int = 64) -> DataFrame:
-    """(row_id, root) by pointer jumping: chains halve in each round, so a chain of length n takes log2 n joins."""
+def roots(rows: DataFrame, row_id: str, parent: str) -> DataFrame:
+    """(row_id, root) by pointer jumping: chains halve in each round, so a chain of length n takes log2 n joins. A cycle has no root and is an error."""
+    if not rows.filter(F.col(parent) == F.col(row_id)).isEmpty():
+        raise ValueError("a row is its own parent")
     at = rows.select(F.col(row_id).alias("id"), F.coalesce(F.col(parent), F.col(row_id)).alias("root"))
+    rounds = rows.count().bit_length() + 1
     for _ in range(rounds):
         up = at.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
         new = at.join(up, at["root"] == up["_i"], "left").select("id", F.coalesce("_r", "root").alias("root"), (F.coalesce("_r", "root") != F.col("root")).alias("_moved"))
@@ -64,6 +69,12 @@ def roots(rows: DataFrame, row_id: str, parent: str, rounds: int = 64) -> DataFr
         at = new.drop("_moved")
         if not moved:
             break
+        # All rows of a chain of length 2 ** n have their root after n rounds; who points to itself and has a parent is on a cycle.
+        back = at.filter("root = id").join(rows.filter(F.col(parent).isNotNull()).select(F.col(row_id).alias("id")), "id", "left_semi")
+        if not back.isEmpty():
+            raise ValueError("the chain runs in a circle")
+    else:
+        raise ValueError(f"no root after {rounds} rounds: the chain runs in a circle")
     return at.select(F.col("id").alias(row_id), "root")
 
 
@@ -74,8 +85,11 @@ def effective_rows(rows: DataFrame, row_id: str, parent: str, order: str) -> Dat
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a checkpoint where the session has a folder for it, else kept in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    """df with its lineage cut by a checkpoint in the folder that the session names; a session on one machine gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

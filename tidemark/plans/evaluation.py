@@ -271,7 +271,7 @@ QUERIES = {
     "worst_decile": (q_worst, f"WITH {_F}, k AS (SELECT lang, (p - y) * (p - y) AS e, row_number() OVER (PARTITION BY lang ORDER BY (p - y) * (p - y) DESC) AS i, count(*) OVER (PARTITION BY lang) AS n FROM f) SELECT lang, count(*) AS n_worst, round(avg(e), 9) AS worst FROM k WHERE i <= greatest(1, ceil(0.1 * n)) GROUP BY 1"),
     "comparator_skill": (q_skill, f"WITH {_F}, c AS (SELECT doc_id, 'model' AS comparator, p, y FROM f UNION ALL SELECT doc_id, 'flat', 0.8, y FROM f WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'coin', 0.5, y FROM f WHERE doc_id % 2 = 0), s AS (SELECT *, (p - y) * (p - y) AS b FROM c), j AS (SELECT s.*, t.b AS base FROM s LEFT JOIN s t ON t.doc_id = s.doc_id AND t.comparator = 'flat') SELECT comparator, count(*) AS n, count(base) AS n_paired, round(avg(b), 9) AS brier, round(1 - avg(CASE WHEN base IS NOT NULL THEN b END) / avg(base), 9) AS skill FROM j GROUP BY 1"),
     "retirement_incidence_z": (q_incidence, "WITH d AS (SELECT c_mktsegment, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS y, 0.2 + (o_custkey % 10) * 0.03 AS p FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT c_mktsegment, o_orderpriority, count(*) AS n, CAST(sum(y) AS BIGINT) AS observed, sum(CAST(p AS DOUBLE)) AS e, sum(CAST(p AS DOUBLE) * (1 - CAST(p AS DOUBLE))) AS v FROM d GROUP BY GROUPING SETS ((c_mktsegment), (c_mktsegment, o_orderpriority))) SELECT c_mktsegment, o_orderpriority, n, observed, round(e, 6) AS expected, round((observed - e) / sqrt(v), 6) AS z, CASE WHEN abs((observed - e) / sqrt(v)) <= 2 THEN 'CONSISTENT' WHEN observed > e THEN 'MORE' ELSE 'FEWER' END AS status FROM g"),
-    "retirement_beta_posterior": (q_posterior, "WITH o AS (SELECT *, pow(2.0, -date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 730.0) AS w FROM orders), t AS (SELECT (sum(CASE WHEN o_orderstatus = 'P' THEN w ELSE 0 END) + 0.5) / (sum(w) + 1) AS rho FROM o), g AS (SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'P' THEN w ELSE 0 END) AS y, sum(w) AS n FROM o GROUP BY 1) SELECT o_custkey, round(100 * rho + y, 6) AS alpha, round(100 * (1 - rho) + n - y, 6) AS beta, round((100 * rho + y) / (100 + n), 9) AS mean, CASE WHEN n <= 0 THEN 'NO_HISTORY' WHEN n < 25 THEN 'UNDER_25' WHEN n < 100 THEN '25_TO_100' ELSE '100_AND_OVER' END AS band FROM g, t"),
+    "retirement_beta_posterior": (q_posterior, "WITH o AS (SELECT *, pow(2.0, -date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 730.0) AS w FROM orders), t AS (SELECT (sum(CASE WHEN o_orderstatus = 'P' THEN w ELSE 0 END) + 0.5) / (sum(w) + 1) AS rho FROM o), g AS (SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'P' THEN w ELSE 0 END) AS y, sum(w) AS n FROM o GROUP BY 1) SELECT o_custkey, round(100 * rho + y, 6) AS alpha, round(100 * (1 - rho) + n - y, 6) AS beta, round((100 * rho + y) / (100 + n), 9) AS mean, CASE WHEN n <= 0 THEN 'no_history' WHEN n < 25 THEN 'sparse' WHEN n < 100 THEN 'intermediate' ELSE 'substantial' END AS band FROM g, t"),
     "settlement_frequency": (q_settlement, "SELECT o_orderpriority, count(*) AS n, round(avg(CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END), 9) AS settled_rate, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 END), 9) AS yes_rate, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS n_void FROM orders GROUP BY 1"),
     "hold_deciles": (q_deciles, "WITH d AS (SELECT l_returnflag, l_extendedprice / 105000 AS p, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS y FROM lineitem), q AS (SELECT l_returnflag, quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM d GROUP BY 1), b AS (SELECT d.*, CAST(len(list_filter(e, lambda x: p >= x)) AS INT) AS bin FROM d JOIN q USING (l_returnflag)) SELECT l_returnflag, bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS frequency FROM b GROUP BY 1, 2"),
     "residual_correlation": (q_correlation, "SELECT l_linenumber, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(avg(l_quantity - l_extendedprice / 2000), 6) AS bias, round(sqrt(avg(pow(l_quantity - l_extendedprice / 2000, 2))), 6) AS rmse, round(avg(abs(l_quantity - l_extendedprice / 2000)), 6) AS mae FROM lineitem GROUP BY 1"),

@@ -179,9 +179,11 @@ def q_names(spark, sf):
 
 
 def q_pairs(spark, sf):
-    li = load(spark, sf, "lineitem")
-    p = li.select(entity.pair(F.col("l_suppkey") % 20, F.col("l_partkey") % 20).alias("p"), "l_quantity")
-    return p.groupBy(F.element_at("p", 1).alias("first"), F.element_at("p", 2).alias("second")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("points"))
+    """Two halves of lineitem as forecasts of the same meetings from either side."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).alias("first"), (F.col("l_partkey") % 20).alias("second"), F.round(F.col("l_discount") * 5 + 0.1, 6).alias("p"))
+    left = li.filter("l_linenumber % 2 = 1").select("l_orderkey", "first", "second")
+    right = li.filter("l_linenumber % 2 = 0").select("l_orderkey", F.col("second").alias("a"), F.col("first").alias("b"), "p")
+    return entity.unordered_join(left, right, ("first", "second"), ("a", "b"), ["l_orderkey"], "p").select("l_orderkey", "first", "second", F.round("p", 6).alias("p"), "turned")
 
 
 def q_name_keys(spark, sf):
@@ -213,10 +215,10 @@ QUERIES = {
     "keep_last_priority": (q_keep_last, "SELECT l_orderkey, l_linenumber, l_returnflag, round(l_extendedprice, 2) AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END DESC, l_shipdate DESC, l_extendedprice DESC, l_partkey) = 1"),
     "asof_latest_event": (q_as_of, "WITH o AS (SELECT o_orderkey, o_custkey % 100 AS user_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o_orderkey % 30 AS INT)) + to_hours(CAST(o_orderkey % 24 AS INT)) AS start FROM orders), j AS (SELECT o.o_orderkey, o.user_id, e.event_id, e.value, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY e.ts DESC, e.event_id DESC) AS n FROM o LEFT JOIN events e ON e.user_id = o.user_id AND e.ts < o.start) SELECT o_orderkey, user_id, event_id, round(value, 4) AS price FROM j WHERE n = 1"),
     "latest_revision": (q_latest, "WITH e AS (SELECT *, date_trunc('hour', ts) AS hour FROM events WHERE date_trunc('hour', ts) < TIMESTAMP '2024-01-20 00:00:00'), t AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY hour DESC) AS r FROM e), g AS (SELECT user_id, hour, min((event_type, value)) AS p, count(DISTINCT (event_type, value)) > 1 AS conflict FROM t WHERE r = 1 GROUP BY 1, 2) SELECT user_id, strftime(hour, '%Y-%m-%d %H') AS hour, p[1] AS event_type, round(p[2], 4) AS value, conflict FROM g"),
-    "inactivity_factors": (q_inactive, "WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events WHERE event_type IN ('purchase', 'signup') AND ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT u.user_id, event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-09-30') AS days FROM u LEFT JOIN l ON l.user_id = u.user_id), f AS (SELECT *, pow(2.0, -greatest(0, days - 90) / 180.0) AS m FROM d) SELECT user_id, event_id, days, round(CASE WHEN days IS NULL THEN NULL ELSE m END, 9) AS mean_factor, round(CASE WHEN days IS NULL THEN NULL ELSE 2 - m * m END, 9) AS variance_factor, CASE WHEN days IS NULL THEN 'COLD_START' WHEN days <= 90 THEN 'ACTIVE' WHEN days <= 180 THEN '91_180' WHEN days <= 365 THEN '181_365' ELSE 'OVER_365' END AS band FROM f"),
+    "inactivity_factors": (q_inactive, "WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events WHERE event_type IN ('purchase', 'signup') AND ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT u.user_id, event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-09-30') AS days FROM u LEFT JOIN l ON l.user_id = u.user_id), f AS (SELECT *, pow(2.0, -greatest(0, days - 90) / 180.0) AS m FROM d) SELECT user_id, event_id, days, round(CASE WHEN days IS NULL THEN NULL ELSE m END, 9) AS mean_factor, round(CASE WHEN days IS NULL THEN NULL ELSE 2 - m * m END, 9) AS variance_factor, CASE WHEN days IS NULL THEN 'COLD_START' WHEN days <= 90 THEN 'D_LE_90' WHEN days <= 180 THEN 'D_91_180' WHEN days <= 365 THEN 'D_181_365' ELSE 'D_GT_365' END AS band FROM f"),
     "crosswalk_one_to_one": (q_crosswalk, "WITH o AS (SELECT o_orderkey, o_custkey % 200 AS customer, o_orderpriority, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), b AS (SELECT * FROM o WHERE o_orderkey % 2 = 1), m AS (SELECT a.o_orderkey, count(*) AS n, count(*) FILTER (a.o_orderstatus = b.o_orderstatus) AS ns, min(CASE WHEN a.o_orderstatus = b.o_orderstatus THEN b.o_orderkey END) AS c FROM a JOIN b ON a.customer = b.customer AND a.o_orderpriority = b.o_orderpriority AND b.day - a.day BETWEEN -3 AND 21 GROUP BY 1), s AS (SELECT a.o_orderkey, c, CASE WHEN count(*) OVER (PARTITION BY customer, o_orderpriority, day, o_orderstatus) > 1 THEN 'DUPLICATE_SOURCE_MATCH' WHEN ns = 1 THEN 'MATCHED' WHEN ns > 1 THEN 'AMBIGUOUS' WHEN n > 0 THEN 'STRUCTURAL_CONFLICT' ELSE 'UNMATCHED' END AS st FROM a LEFT JOIN m ON a.o_orderkey = m.o_orderkey), t AS (SELECT o_orderkey, c, CASE WHEN st = 'MATCHED' AND count(*) OVER (PARTITION BY CASE WHEN st = 'MATCHED' THEN c END) > 1 THEN 'REUSED_AUGMENTATION_ROW' ELSE st END AS status FROM s) SELECT o_orderkey AS source_id, status, CASE WHEN status = 'MATCHED' THEN c END AS matched_id FROM t"),
     "exact_key_identity": (q_names, "WITH k AS (SELECT right(c_name, 2) AS key, list_sort(list(DISTINCT CASE WHEN c_custkey % 1500 < 120 THEN c_custkey ELSE 0 END)) AS ids FROM customer GROUP BY 1) SELECT s_suppkey, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_ids, CASE WHEN len(ids) = 1 THEN ids[1] END AS resolved_id, CASE WHEN len(ids) = 1 THEN 'MATCHED' WHEN len(ids) > 1 THEN 'AMBIGUOUS' ELSE 'NEW' END AS resolution FROM supplier LEFT JOIN k ON right(s_name, 2) = key"),
-    "unordered_pair_join": (q_pairs, "SELECT least(l_suppkey % 20, l_partkey % 20) AS first, greatest(l_suppkey % 20, l_partkey % 20) AS second, count(*) AS n_rows, round(sum(l_quantity), 2) AS points FROM lineitem GROUP BY 1, 2"),
+    "unordered_pair_join": (q_pairs, "WITH li AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS first, l_partkey % 20 AS second, round(l_discount * 5 + 0.1, 6) AS p FROM lineitem WHERE l_suppkey % 20 <> l_partkey % 20), a AS (SELECT * FROM li WHERE l_linenumber % 2 = 1 QUALIFY count(*) OVER (PARTITION BY l_orderkey, least(first, second), greatest(first, second)) = 1), b AS (SELECT * FROM li WHERE l_linenumber % 2 = 0 QUALIFY count(*) OVER (PARTITION BY l_orderkey, least(first, second), greatest(first, second)) = 1) SELECT a.l_orderkey, a.first, a.second, round(CASE WHEN b.second = a.first THEN b.p ELSE 1 - b.p END, 6) AS p, b.second <> a.first AS turned FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND least(a.first, a.second) = least(b.first, b.second) AND greatest(a.first, a.second) = greatest(b.first, b.second)"),
     "name_keys": (q_name_keys, "WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+') AS w FROM part) SELECT p_partkey, CASE WHEN len(w) < 2 THEN '' ELSE array_to_string(list_transform(range(1, least(4, len(w) - 1) + 1), lambda k: array_to_string(w[len(w) - k + 1:len(w)], '') || '|' || left(w[1], 1)), ',') END AS name_keys, left(w[1], 1) || '|' || w[len(w)] AS signature FROM t"),
     "set_membership": (q_sets, "SELECT source, count(*) AS n, 'labelled' AS side FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1 UNION ALL SELECT source, count(*), 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1 UNION ALL SELECT NULL, count(*), 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
 }

@@ -1,13 +1,14 @@
-"""Event streams: windows, sessions, duplicates and a stateful count, each with a batch twin that gives the same rows."""
+"""Event streams: windows, sessions and duplicates, each with a batch twin that gives the same rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 
 def tumbling(events: DataFrame, ts: str, length: str, by: list[str], late: str | None = None) -> DataFrame:
     """Rows and sum of value in each window. With late, a watermark lets a stream forget windows."""
@@ -41,8 +42,7 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
 
     In complete mode the rows are those of the last batch."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")).rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows" + ("" if mode == "complete" else f"/{n}"))
