@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, ingest, models
+from tidemark.plans import evaluation, ingest, intake, matching, models, reports
 
-MODULES = [ingest, evaluation, models]
+MODULES = [ingest, intake, matching, evaluation, reports, models]
 
 
 def queries() -> dict:
