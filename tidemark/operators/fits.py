@@ -1,4 +1,4 @@
-"""Small fits by group, as grouped Arrow functions over sufficient rows."""
+"""Small fits by group: sums of Spark for Newton steps, and grouped Arrow functions over sufficient rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType, _parse_datatype_string
 
 from tidemark.functions import kernels
 
@@ -14,28 +15,65 @@ def _kind(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
-def calibration(rows: DataFrame, p: str, y: str, by: list[str], digits: int = 4) -> DataFrame:
-    """Intercept and slope of the outcome on the forecast's logit. Forecasts are rounded and counted first, so a group is at most 10 ** digits rows of each outcome."""
-    counted = rows.select(*by, F.round(p, digits).alias("p"), F.col(y).cast("int").alias("y")).groupBy(*by, "p", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        n, q, t = int(frame["n"].sum()), np.clip(frame["p"].to_numpy(float), 1e-6, 1 - 1e-6), frame["y"].to_numpy(float)
-        known = n >= 10 and 0 < (t * frame["n"]).sum() < n
-        w = kernels.newton(np.c_[np.ones(len(q)), np.log(q / (1 - q))], t, weight=frame["n"].to_numpy(float)) if known else (None, None)
-        return pd.DataFrame([[*frame[by].iloc[0], n, w[0], w[1]]], columns=[*by, "n", "intercept", "slope"])
-
-    return counted.groupBy(*by).applyInPandas(fit, f"{_kind(rows, by)}, n long, intercept double, slope double")
-
-
-def ridge_weights(rows: DataFrame, offset: str, features: list[str], y: str, by: list[str], ridge: float, lower: float = -2.5, upper: float = 0.0, digits: int = 2) -> DataFrame:
-    """Offset logistic regression with a ridge and a box; features and offsets are rounded and counted first."""
-    counted = rows.groupBy(*by, F.round(offset, digits).alias("o"), *[F.round(c, digits).alias(c) for c in features], F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        w = kernels.newton(frame[features].to_numpy(float), frame["y"].to_numpy(float), frame["o"].to_numpy(float), ridge, lower, upper, frame["n"].to_numpy(float))
-        return pd.DataFrame([[*frame[by].iloc[0], int(frame["n"].sum()), w.tolist()]], columns=[*by, "n", "weights"])
-
-    return counted.groupBy(*by).applyInPandas(fit, f"{_kind(rows, by)}, n long, weights array<double>")
+def logistic_groups(rows: DataFrame, by: list[str], features: list[str], y: str, offset: str | None = None, ridge: float = 0.0, lower: float = -np.inf, upper: float = np.inf, rounds: int = 60, tolerance: float = 1e-10) -> dict[tuple, tuple[int, int, np.ndarray]]:
+    """(rows, ones, weights) of the logistic regression of each group, by Newton steps in a box.
+
+    A step's gradient and curvature are sums over all rows, which Spark adds up; only these sums, a few numbers for each group, come to the driver,
+    and the groups' weights go back as a broadcast table of one row a group. So no row is rounded, and no group is gathered."""
+    spark, k = rows.sparkSession, len(features)
+    rows = rows.select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("_y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"))
+    # Rows alike in everything are counted once.
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = {tuple(r[c] for c in by): (r["n"], int(r["ones"])) for r in counted.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_y")).alias("ones")).collect()}
+    weights = {g: np.clip(np.zeros(k), lower, upper) for g in sizes}
+    open_ = set(sizes)
+    kind = StructType([counted.schema[c] for c in by] + [StructField("_w", ArrayType(DoubleType()))])
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = F.broadcast(spark.createDataFrame([(*g, weights[g].tolist()) for g in open_], kind))
+        met = counted.alias("r").join(now.alias("w"), [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by])
+        z = F.col("_o")
+        for i in range(k):
+            z = z + F.col(f"_x{i}") * F.col("_w")[i]
+        met = met.withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z)))))
+        g = [F.sum(F.col("_n") * (F.col("_p") - F.col("_y")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(k)]
+        h = [F.sum(F.col("_n") * F.col("_p") * (1 - F.col("_p")) * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        for r in met.groupBy(*[F.col(f"r.{c}").alias(c) for c in by]).agg(*g, *h).collect():
+            group = tuple(r[c] for c in by)
+            w = weights[group]
+            gradient = np.array([r[f"g{i}"] for i in range(k)]) + ridge * w
+            curve = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) + (ridge + 1e-10) * np.eye(k)
+            free = ~(((w <= lower) & (gradient > 0)) | ((w >= upper) & (gradient < 0)))
+            step = np.zeros(k)
+            if free.any():
+                step[free] = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+            # A step of more than two on the logit scale is shortened: far from the optimum the curvature does not hold.
+            new = np.clip(w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300)), lower, upper)
+            weights[group] = new
+            if np.abs(new - w).max() < tolerance:
+                open_.discard(group)
+    return {g: (*sizes[g], weights[g]) for g in sizes}
+
+
+def _fitted(rows: DataFrame, by: list[str], found: list[tuple], more: str) -> DataFrame:
+    kind = StructType([StructField(c, rows.schema[c].dataType) for c in by] + list(_parse_datatype_string(more).fields))
+    return rows.sparkSession.createDataFrame(found, kind)
+
+
+def calibration(rows: DataFrame, p: str, y: str, by: list[str], clip: float = 1e-6) -> DataFrame:
+    """Intercept and slope of the outcome on the forecast's logit; null for fewer than ten rows or one class."""
+    q = F.least(F.lit(1 - clip), F.greatest(F.lit(clip), F.col(p)))
+    x = rows.select(*by, F.lit(1.0).alias("_one"), F.log(q / (1 - q)).alias("_logit"), F.col(y).alias("_t"))
+    found = logistic_groups(x, by, ["_one", "_logit"], "_t")
+    out = [(*g, n, *([float(v) for v in w] if n >= 10 and 0 < ones < n else [None, None])) for g, (n, ones, w) in found.items()]
+    return _fitted(rows, by, out, "n long, intercept double, slope double")
+
+
+def ridge_weights(rows: DataFrame, offset: str, features: list[str], y: str, by: list[str], ridge: float, lower: float = -2.5, upper: float = 0.0) -> DataFrame:
+    """Offset logistic regression with a ridge and a box."""
+    found = logistic_groups(rows, by, features, y, offset, ridge, lower, upper)
+    return _fitted(rows, by, [(*g, n, [float(v) for v in w]) for g, (n, _, w) in found.items()], "n long, weights array<double>")
 
 
 def beta_binomial(rows: DataFrame, successes: str, trials: str, weight: str, by: list[str]) -> DataFrame:
@@ -48,3 +86,19 @@ def beta_binomial(rows: DataFrame, successes: str, trials: str, weight: str, by:
         return pd.DataFrame([[*frame[by].iloc[0], float(w.sum()), mean, concentration]], columns=[*by, "weight", "logit_mean", "log_concentration"])
 
     return counted.groupBy(*by).applyInPandas(fit, f"{_kind(rows, by)}, weight double, logit_mean double, log_concentration double")
+
+
+def duration(rows: DataFrame, by: list[str], minutes: str, exposures: list[str], a: str, b: str, weight: str) -> DataFrame:
+    """The duration model of each group: coefficients, scale, degrees of freedom and the players' pace.
+
+    A group is the matches of one tour within a training window, some ten thousand rows; it is fitted in one task."""
+    rows = rows.select(*by, F.col(minutes).cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in exposures]).alias("_x"), F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"), F.col(weight).cast("double").alias("_w"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        players = sorted(set(frame["_a"]) | set(frame["_b"]))
+        place = {p: i for i, p in enumerate(players)}
+        x = np.c_[np.ones(len(frame)), np.stack(frame["_x"].to_numpy())]
+        found = kernels.student_fit(x, frame["_y"].to_numpy(), frame["_w"].to_numpy(), frame["_a"].map(place).to_numpy(), frame["_b"].map(place).to_numpy(), len(players))
+        return pd.DataFrame([[*frame[by].iloc[0], len(frame), found["beta"].tolist(), found["sigma0"], found["sigma1"], found["nu"], players, found["pace"].tolist()]], columns=[*by, "n", "beta", "sigma0", "sigma1", "nu", "players", "pace"])
+
+    return rows.groupBy(*by).applyInPandas(fit, f"{_kind(rows, by)}, n long, beta array<double>, sigma0 double, sigma1 double, nu double, players array<string>, pace array<double>")

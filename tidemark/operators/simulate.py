@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 STATS = "games int, aces int, double_faults int, breaks int, first_in int, first_won int, winners int, errors int"
@@ -85,3 +86,30 @@ def paths(spark: SparkSession, n: int, seed: int, serve: list[tuple[float, float
             yield pd.DataFrame([one_path(seed, int(i), serve, best_of, retire, minutes) for i in frame["id"]])
 
     return spark.range(start, start + n, 1, parts or 8).mapInPandas(run, SCHEMA)
+
+
+def durations(spark: SparkSession, n: int, seed: int, mean: list[float], covariance: list[list[float]], exposure: list[float], block: int = 4096, parts: int | None = None) -> DataFrame:
+    """n paths of a match's minutes: (path, latent, floor, nearest, ceiling).
+
+    mean and covariance are those of the posterior's normal approximation on what the match needs: the coefficients of (1, points, games, sets, tiebreaks), the pace
+    of both players and the logs of the two scales and of the degrees of freedom less two. Each path draws its own parameters and one Student-t residual.
+    Blocks of paths have their own random streams by their number, so the paths are the same however they are dealt out."""
+    mean, root = np.asarray(mean, float), np.linalg.cholesky(np.asarray(covariance, float) + 1e-12 * np.eye(len(mean)))
+    x = np.array([1.0, *exposure])
+    blocks = -(-n // block)
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                size = min(block, n - i * block)
+                rng = np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, 0, i]))
+                draw = mean + rng.standard_normal((size, len(mean))) @ root.T
+                center = draw[:, : len(x)] @ x + draw[:, len(x)] + draw[:, len(x) + 1]
+                s0, s1, m = np.exp(np.clip(draw[:, len(x) + 2 :].T, -20, 20))
+                scale = s0 + s1 * np.sqrt(max(x[1], 1.0))
+                latent = np.maximum(1.0, center + scale * rng.standard_t(2 + m))
+                shown = [np.maximum(1, f(latent)).astype(np.int64) for f in (np.floor, lambda v: np.floor(v + 0.5), np.ceil)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i * block, i * block + size)), pa.array(latent), *map(pa.array, shown)], ["path", "latent", "floor", "nearest", "ceiling"])
+
+    source = spark.range(0, blocks, 1, parts or min(blocks, spark.sparkContext.defaultParallelism))
+    return source.mapInArrow(run, "path long, latent double, floor long, nearest long, ceiling long")

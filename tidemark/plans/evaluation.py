@@ -285,7 +285,7 @@ QUERIES = {
     "grid_argmin": (q_grid, f"WITH {_F}, g AS (SELECT i / 10.0 AS weight, j / 5.0 AS anchor FROM range(1, 10) a(i), range(1, 5) b(j)), s AS (SELECT lang, weight, anchor, round(avg(pow(weight * p + (1 - weight) * anchor - y, 2)), 9) AS brier FROM f, g GROUP BY 1, 2, 3) SELECT lang, m[1] AS brier, m[2] AS weight, m[3] AS anchor FROM (SELECT lang, min((brier, weight, anchor)) AS m FROM s GROUP BY 1)"),
     "rollup_coverage": (q_rollup, "SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS matched, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END), 9) AS coverage FROM orders GROUP BY ROLLUP (o_orderpriority, year(o_orderdate))"),
     "cutoff_audit": (q_audit, "SELECT o_orderpriority, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1, 2, 3"),
-    "ledger_chain_verify": (q_chain, None),
+    "ledger_chain_verify": (q_chain, "WITH a AS (SELECT event_id, user_id, concat_ws('~', event_id, event_type, props) AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events), b AS (SELECT *, sha256(concat_ws('|', coalesce(sha256(lag(content) OVER (PARTITION BY user_id ORDER BY event_id)), ''), content)) AS own0 FROM a), c AS (SELECT *, CASE WHEN event_id % 97 <> 0 THEN lag(own0) OVER (PARTITION BY user_id ORDER BY seq) END AS previous FROM b), d AS (SELECT *, sha256(concat_ws('|', coalesce(previous, ''), content)) AS own1 FROM c), e AS (SELECT user_id, own1, CASE WHEN event_id % 101 = 0 THEN sha256(own1) ELSE own1 END AS own, CASE WHEN event_id % 103 = 0 THEN seq + 1000 ELSE seq END AS sequence FROM d), f AS (SELECT user_id, sequence = row_number() OVER (PARTITION BY user_id ORDER BY sequence) AS gapless, own = own1 AS hash_ok FROM e) SELECT user_id, count(*) AS n, count(*) FILTER (gapless) AS n_gapless, count(*) FILTER (hash_ok) AS n_hash_ok FROM f GROUP BY 1"),
     "ledger_effective_rows": (q_effective, "WITH RECURSIVE e AS (SELECT event_id, value, CASE WHEN event_id % 4 <> 0 AND event_id - event_id % 3 - 1 >= 0 THEN event_id - event_id % 3 - 1 END AS parent FROM events), t AS (SELECT event_id, event_id AS root FROM e WHERE parent IS NULL UNION ALL SELECT e.event_id, t.root FROM e JOIN t ON e.parent = t.event_id) SELECT e.event_id, root, round(value, 4) AS value FROM t JOIN e USING (event_id) QUALIFY row_number() OVER (PARTITION BY root ORDER BY e.event_id DESC) = 1"),
     "connected_components": (q_components, None),
     "serve_identities": (q_identities, "WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, 0.5 + l_discount AS f, l_tax * 2 AS a, 0.6 + l_discount AS q1, l_tax AS d, 0.45 + l_discount AS q2 FROM lineitem), p AS (SELECT *, f * (a + (1 - a) * q1) + (1 - f) * ((1 - d) * q2) AS p FROM d) SELECT l_orderkey, l_linenumber, l_partkey, round(p, 9) AS p, round(f * a, 9) AS ace_rate, round((1 - f) * d, 9) AS df_rate, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * pow(1 - p, 2)) + 20 * pow(p, 3) * pow(1 - p, 3) * pow(p, 2) / (pow(p, 2) + pow(1 - p, 2)), 9) AS hold, round(ln(p / (1 - p)), 6) AS logit FROM p"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import evaluate, fits, folds, props, resample, simulate
-from tidemark.plans.evaluation import forecasts, r
+from tidemark.plans.evaluation import _F, forecasts, r
 from tidemark.sources.tables import load
 from tidemark.streaming import events as streams
 
@@ -163,6 +163,70 @@ def q_bootstrap(spark, sf):
     return t.select("lang", "n_events", *[r(F.col(c), 6).alias(c) for c in ("mean", "low", "high")])
 
 
+def _ends(t, by):
+    return t.select(*by, "n_events", *[r(F.col(c), 6).alias(c) for c in ("mean", "low", "high")])
+
+
+def _paired(spark, sf):
+    """The difference of two forecasts' scores on each document."""
+    f = forecasts(spark, sf)
+    return f.withColumn("delta", evaluate.brier(F.col("p") * 0.8 + 0.1, F.col("y")) - evaluate.brier(F.col("p"), F.col("y"))).withColumn("fold", F.col("doc_id") % 4)
+
+
+def q_stratified(spark, sf):
+    return _ends(resample.event_bootstrap(_paired(spark, sf), "source", F.col("delta"), [], 200, 7, ["lang", "fold"]), [])
+
+
+def q_rows(spark, sf):
+    """Whole rows are drawn: the key of a row is its event."""
+    return _ends(resample.event_bootstrap(_paired(spark, sf).filter("lang = 'en'"), "doc_id", F.col("delta"), ["fold"], 100, 11), ["fold"])
+
+
+def q_interval_99(spark, sf):
+    e = load(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("residual", F.col("value") - 20)
+    return _ends(resample.event_bootstrap(e, "day", F.col("residual"), ["event_type"], 200, 13, low=0.005, high=0.995), ["event_type"])
+
+
+def q_reliability_bootstrap(spark, sf):
+    f = forecasts(spark, sf).withColumn("bin", evaluate.tenths(F.col("p")))
+    return _ends(resample.event_bootstrap(f, "source", F.col("y"), ["bin"], 200, 17), ["bin"])
+
+
+def q_pit(spark, sf):
+    """Randomised places of binary outcomes in their forecasts, and how far they are from uniform."""
+    f = forecasts(spark, sf).withColumn("u", resample.randomised_pit(F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(0.0), F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), "pit", F.col("doc_id")))
+    return evaluate.ks_uniform(f, "u", ["lang"]).select("lang", "n", r(F.col("ks"), 6).alias("ks"))
+
+
+def _durations(spark, sf):
+    """Matches made from orders' lines: minutes hang on exposures, on both players' pace and on a residual made of the key."""
+    li = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("points"), F.count(F.lit(1)).alias("games"), F.max("l_linenumber").alias("sets"), F.count_if(F.col("l_tax") == 0).alias("tiebreaks"), F.min("l_suppkey").alias("s"))
+    m = li.filter("points >= 20").withColumn("a", F.col("l_orderkey") % 12).withColumn("b", (F.col("l_orderkey") % 12 + 1 + F.col("s") % 11) % 12)
+    noise = (resample.uniform("a", F.col("l_orderkey")) + resample.uniform("b", F.col("l_orderkey")) + resample.uniform("c", F.col("l_orderkey")) - 1.5) * (1 + 0.4 * F.sqrt("points"))
+    return m.withColumn("minutes", 4 + 0.55 * F.col("points") + 0.9 * F.col("games") + 2 * F.col("sets") + 1.5 * F.col("tiebreaks") + (F.col("a") + F.col("b") - 11) / 4 + noise).withColumn("tour", F.when(F.col("l_orderkey") % 2 == 0, "A").otherwise("B")).withColumn("w", F.lit(1.0))
+
+
+def q_duration_fit(spark, sf):
+    t = fits.duration(_durations(spark, sf), ["tour"], "minutes", ["points", "games", "sets", "tiebreaks"], "a", "b", "w")
+    return t.select("tour", "n", *[r(F.col("beta")[i], 3).alias(c) for i, c in enumerate(["theta0", "per_point", "per_game", "per_set", "per_tiebreak"])], r(F.col("sigma0"), 2).alias("sigma0"), r(F.col("sigma1"), 2).alias("sigma1"))
+
+
+#: What a fit gives for a match of 140 points, 22 games, 2 sets and no tiebreak: mode and spread.
+DURATION_MEAN = [4.0, 0.55, 0.9, 2.0, 1.5, 1.0, -0.5, 0.7, -0.7, 1.8]
+DURATION_SD = [1.0, 0.02, 0.05, 0.5, 0.5, 1.0, 1.0, 0.1, 0.1, 0.2]
+EXPOSURE = [140.0, 22.0, 2.0, 0.0]
+
+
+def duration_paths(spark, n: int):
+    return simulate.durations(spark, n, 20260830, DURATION_MEAN, [[s * s if i == j else 0.0 for j in range(10)] for i, s in enumerate(DURATION_SD)], EXPOSURE)
+
+
+def q_duration_paths(spark, sf):
+    """Reads no table: the match and the posterior are given."""
+    t = duration_paths(spark, 100_000)
+    return t.agg(F.count(F.lit(1)).alias("n"), r(F.avg("latent"), 6).alias("mean"), r(F.stddev("latent"), 6).alias("sd"), r(F.avg((F.col("nearest") >= 105).cast("double")), 6).alias("over"), F.count_if(F.col("ceiling") < F.col("floor")).alias("n_wrong"))
+
+
 def q_calibration_fit(spark, sf):
     t = fits.calibration(forecasts(spark, sf), "p", "y", ["lang"])
     return t.select("lang", "n", r(F.col("intercept"), 6).alias("intercept"), r(F.col("slope"), 6).alias("slope"))
@@ -213,6 +277,24 @@ def q_stream_first(spark, sf):
     return streams.run_once(e, "append")
 
 
+_DELTA = "(p * 0.8 + 0.1 - y) * (p * 0.8 + 0.1 - y) - (p - y) * (p - y)"
+
+
+def _boot(by: str | None, strata: list[str], replicates: int, seed: int, low: float = 0.025, high: float = 0.975) -> str:
+    """The bootstrap of x (by, strata, event, v), drawn by the same md5."""
+    within = [*([by] if by else []), *strata]
+    keys, same = ", ".join(within), " AND ".join(f"d.{c} = e.{c}" for c in within)
+    lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return (
+        f"e AS (SELECT {keys}, sum(v) AS s, count(v) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY event) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS m FROM x GROUP BY {keys}, event), "
+        f"d AS (SELECT {keys}, r, ('0x' || left(md5(concat_ws('|', {seed}, r, i, {keys})), 13))::BIGINT % m AS pick FROM e, range(1, {replicates + 1}) t(r)), "
+        f"b AS (SELECT {''.join(f'd.{c}, ' for c in ([by] if by else []))}r, sum(s) / sum(n) AS v FROM d JOIN e ON {same} AND e.i = d.pick GROUP BY {''.join(f'd.{c}, ' for c in ([by] if by else []))}r), "
+        f"q AS (SELECT {lead}quantile_cont(v, {low}) AS low, quantile_cont(v, {high}) AS high FROM b {group}), "
+        f"t AS (SELECT {lead}count(*) AS n_events, sum(s) / sum(n) AS mean FROM e {group}) "
+        f"SELECT {lead}n_events, round(mean, 6) AS mean, round(CASE WHEN n_events >= 2 THEN low END, 6) AS low, round(CASE WHEN n_events >= 2 THEN high END, 6) AS high FROM t {f'JOIN q USING ({by})' if by else ', q'}"
+    )
+
+
 QUERIES = {
     "elo_fold": (q_elo, None),
     "elo_weekly_emission": (q_elo_weekly, None),
@@ -222,7 +304,14 @@ QUERIES = {
     "prop_estimates": (q_props, None),
     "prop_truth_matrix": (q_truth, f"WITH {_PATHS} SELECT k AS path, {', '.join(n for n in CHECKED if n not in ('win_and_duration', 'aces_or_duration'))}, match_win AND duration AS win_and_duration, aces OR duration AS aces_or_duration FROM t"),
     "settlement_states": (q_states, _states_sql()),
-    "event_block_bootstrap": (q_bootstrap, None),
+    "event_block_bootstrap": (q_bootstrap, f"WITH {_F}, x AS (SELECT lang, source AS event, (p - y) * (p - y) AS v FROM f), {_boot('lang', [], 200, 0)}"),
+    "stratified_block_bootstrap": (q_stratified, f"WITH {_F}, x AS (SELECT lang, doc_id % 4 AS fold, source AS event, {_DELTA} AS v FROM f), {_boot(None, ['lang', 'fold'], 200, 7)}"),
+    "row_bootstrap": (q_rows, f"WITH {_F}, x AS (SELECT doc_id % 4 AS fold, doc_id AS event, {_DELTA} AS v FROM f WHERE lang = 'en'), {_boot('fold', [], 100, 11)}"),
+    "event_block_interval_99": (q_interval_99, f"WITH x AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS event, value - 20 AS v FROM events), {_boot('event_type', [], 200, 13, 0.005, 0.995)}"),
+    "reliability_bootstrap": (q_reliability_bootstrap, f"WITH {_F}, x AS (SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, source AS event, y AS v FROM f), {_boot('bin', [], 200, 17)}"),
+    "randomised_pit": (q_pit, f"WITH {_F}, u AS (SELECT lang, CASE WHEN y = 1 THEN 1 - p ELSE 0.0 END + ((('0x' || left(md5(concat_ws('|', 'pit', doc_id)), 13))::BIGINT % 4503599627370496 + 0.5) / 4503599627370496) * CASE WHEN y = 1 THEN p ELSE 1 - p END AS u FROM f), k AS (SELECT lang, u, row_number() OVER (PARTITION BY lang ORDER BY u) AS i, count(*) OVER (PARTITION BY lang) AS n FROM u) SELECT lang, max(n) AS n, round(max(greatest(CAST(i AS DOUBLE) / n - u, u - CAST(i - 1 AS DOUBLE) / n)), 6) AS ks FROM k GROUP BY 1"),
+    "duration_fit": (q_duration_fit, None),
+    "duration_paths": (q_duration_paths, None),
     "calibration_regression": (q_calibration_fit, None),
     "ridge_offset_fit": (q_ridge, None),
     "beta_binomial_map": (q_beta_binomial, None),
