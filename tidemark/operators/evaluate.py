@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.timeline import _cut
+
 CLIP = 1e-15
 
 
@@ -39,31 +41,45 @@ def right_closed(p: Column, edges: list[float]) -> Column:
     return out
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Rank of value, ties by their mean, within each group.
+def prefix_counts(counted: DataFrame, by: list[str], value: str, n: str, descending: bool = False) -> DataFrame:
+    """counted (by, value, n, ...), one row for each value of a group, with _before: the sum of n over the group's smaller (or larger) values.
+
+    Rows are dealt out by ranges of (by, value), so a group of any size is spread; sums run within a range, and what the ranges before hold of the group is a
+    table of one row for each range and group that begins or ends in it. The dealt-out rows are cut from their lineage, as a range is not the same twice."""
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    dealt = _cut(counted.repartitionByRange(*[F.col(c).asc() for c in by], order).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy("_p", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_p", *by).agg(F.sum(n).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    rows, sums = dealt.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("r"), totals.alias("t")
+    same = [F.col("r._p") == F.col("t._p")] + [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    return rows.join(sums, same).select("r.*", (F.col("t._start") + F.col("r._inside")).alias("_before")).drop("_p", "_inside")
 
-    Values are counted first, so a window holds a group's distinct values only, and a rank is the rows before and half its ties."""
+
+def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Rank of value, ties by their mean, within each group: the rows before and half of the ties."""
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counted.withColumn(out, F.sum("_n").over(w) - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = prefix_counts(counted, by, value, "_n").withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
     return rows.join(ranks, [*by, value])
 
 
 def auc(rows: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """Mann-Whitney with mean ranks; null where there is one class only."""
-    ranked = rows.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("r", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    counted = rows.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1"))
+    ranked = prefix_counts(counted, by, p, "n").withColumn("r", F.col("_before") + (F.col("n") + 1) / 2)
     total = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("r") * F.col("n1")).alias("s"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return total.select(*by, "n", F.try_divide(F.col("s") - n1 * (n1 + 1) / 2, (n1 * n0).cast("double")).alias("auc"))
 
 
 def worst_share(rows: DataFrame, error: str, by: list[str], share: float = 0.1) -> DataFrame:
-    """Mean of the largest errors, one at least."""
-    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(error).desc()))).join(size, by)
-    return ranked.filter(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_n")))).groupBy(*by).agg(F.avg(error).alias("worst"), F.count(F.lit(1)).alias("n_worst"))
+    """Mean of the largest errors, one at least. Of the last value that counts, only as many rows as are left."""
+    size = rows.groupBy(*by).agg(F.count(error).alias("_size"))
+    counted = rows.filter(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix_counts(counted, by, error, "_n", descending=True).join(size, by)
+    left = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_size"))) - F.col("_before")
+    taken = F.greatest(F.lit(0), F.least(F.col("_n"), left))
+    return ranked.filter(taken > 0).groupBy(*by).agg((F.sum(F.col(error) * taken) / F.sum(taken)).alias("worst"), F.sum(taken).cast("long").alias("n_worst"))
 
 
 def stratified(rows: DataFrame, p: str, y: str, strata: list[str]) -> DataFrame:
@@ -90,33 +106,27 @@ def incidence(rows: DataFrame, p: str, y: str, sets: list[list[str]], columns: l
 
 
 def quantile_bins(rows: DataFrame, value: str, by: list[str], n: int = 10) -> DataFrame:
-    """Bin of the value among the group's linear quantiles: closed on the left, the last on both sides."""
-    edges = rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("_e"))
+    """Bin of the value among the group's linear quantiles: closed on the left, the last on both sides.
+
+    The edges come from counts of values: each lies between the values at two places of the group's order."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    size = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    ranked = prefix_counts(counted, by, value, "_n").join(size, by)
+    place = lambda i: (F.col("_size") - 1) * F.lit(i / n)
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    low = [F.max(F.when(holds(F.floor(place(i))), F.col(value))) for i in range(1, n)]
+    high = [F.max(F.when(holds(F.ceil(place(i))), F.col(value))) for i in range(1, n)]
+    part = [F.max(place(i) - F.floor(place(i))) for i in range(1, n)]
+    edges = ranked.groupBy(*by).agg(F.array(*[a + (b - a) * f for a, b, f in zip(low, high, part, strict=True)]).alias("_e"))
     met = rows.join(edges, by)
-    bin_ = F.aggregate(F.slice("_e", 2, n - 1), F.lit(0), lambda s, x: s + (F.col(value) >= x).cast("int"))
+    bin_ = F.aggregate("_e", F.lit(0), lambda s, x: s + (F.col(value) >= x).cast("int"))
     return met.withColumn("bin", bin_).drop("_e")
 
 
 def ks_uniform(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Largest distance of the values' distribution from the uniform one. Values are counted before the window."""
+    """Largest distance of the values' distribution from the uniform one."""
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    c = counted.withColumn("upto", F.sum("k").over(w)).join(size, by)
-    high, low = F.col("upto") / F.col("n") - F.col(value), F.col(value) - (F.col("upto") - F.col("k")) / F.col("n")
+    c = prefix_counts(counted, by, value, "k").join(size, by)
+    high, low = (F.col("_before") + F.col("k")) / F.col("n") - F.col(value), F.col(value) - F.col("_before") / F.col("n")
     return c.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.greatest(high, low)).alias("ks"))
-
-
-def truth_all(parts: list[Column]) -> Column:
-    """Strong Kleene AND, null for unresolved; nothing is true."""
-    out = F.lit(True)
-    for p in parts:
-        out = out & p
-    return out
-
-
-def truth_any(parts: list[Column]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | p
-    return out

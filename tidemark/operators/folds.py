@@ -11,6 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def elo(matches: DataFrame, grid: list[tuple[float, float]], parts: int | None = None) -> DataFrame:
@@ -19,20 +24,19 @@ def elo(matches: DataFrame, grid: list[tuple[float, float]], parts: int | None =
     matches: tour, at (order), match_id, a, b, surface, won (1 if a won). A change of k (won - expected) goes to the global and to
     the surface rating; ratings start at 1500. A repeated match_id of a tour counts once."""
     grid_df = F.broadcast(matches.sparkSession.createDataFrame(grid, "k double, blend double"))
-    rows = matches.crossJoin(grid_df).select("tour", "k", "blend", "at", "match_id", "a", "b", "surface", "won")
+    # Repeats go before the fold, so that the fold holds nothing but ratings.
+    first = F.row_number().over(Window.partitionBy("tour", "match_id").orderBy("at", "a", "b"))
+    rows = matches.withColumn("_n", first).filter("_n = 1").crossJoin(grid_df).select("tour", "k", "blend", "at", "match_id", "a", "b", "surface", "won")
     by = ["tour", "k", "blend"]
-    ordered = rows.repartition(parts or 8, *by).sortWithinPartitions(*by, "at", "match_id")
+    ordered = rows.repartition(parts or _parts(matches), *by).sortWithinPartitions(*by, "at", "match_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rating, seen = None, {}, set()
+        key, rating = None, {}
         for frame in batches:
             out = []
             for tour, k, blend, at, match, a, b, surface, won in frame.itertuples(index=False):
                 if (tour, k, blend) != key:
-                    key, rating, seen = (tour, k, blend), {}, set()
-                if match in seen:
-                    continue
-                seen.add(match)
+                    key, rating = (tour, k, blend), {}
                 get = rating.get
                 ra = (1 - blend) * get((a, None), 1500.0) + blend * get((a, surface), 1500.0)
                 rb = (1 - blend) * get((b, None), 1500.0) + blend * get((b, surface), 1500.0)
@@ -51,7 +55,7 @@ def bradley_terry(matches: DataFrame, decay_days: float, variance: float, parts:
     """Dynamic strengths: before each match the decayed means and variances and the logistic-normal forecast, then a diagonal Laplace update.
 
     matches: tour, at (microseconds), match_id, a, b, won."""
-    ordered = matches.select("tour", "at", "match_id", "a", "b", "won").repartition(parts or 8, "tour").sortWithinPartitions("tour", "at", "match_id")
+    ordered = matches.select("tour", "at", "match_id", "a", "b", "won").repartition(parts or _parts(matches), "tour").sortWithinPartitions("tour", "at", "match_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tour_now, state = None, {}

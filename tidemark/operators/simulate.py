@@ -85,7 +85,7 @@ def paths(spark: SparkSession, n: int, seed: int, serve: list[tuple[float, float
         for frame in batches:
             yield pd.DataFrame([one_path(seed, int(i), serve, best_of, retire, minutes) for i in frame["id"]])
 
-    return spark.range(start, start + n, 1, parts or 8).mapInPandas(run, SCHEMA)
+    return spark.range(start, start + n, 1, parts or max(1, min(spark.sparkContext.defaultParallelism, -(-n // 100)))).mapInPandas(run, SCHEMA)
 
 
 def durations(spark: SparkSession, n: int, seed: int, mean: list[float], covariance: list[list[float]], exposure: list[float], block: int = 4096, parts: int | None = None) -> DataFrame:
