@@ -114,11 +114,15 @@ def only_one(rows: DataFrame, by: list[str], wanted: Column) -> DataFrame:
     return found.filter(F.when(F.col("_n") != 1, F.raise_error(F.lit("not exactly one row")).cast("boolean")).otherwise(True)).drop("_n")
 
 
-def version_as_of(versions: DataFrame, wanted: DataFrame, by: list[str], cutoff: str, at: str, version: str) -> DataFrame:
-    """For each wanted row the last version whose data end before its cutoff, or null (the static fit). versions of a group are a bounded list, read in one pass with the wanted rows."""
-    from tidemark.operators.selection import as_of
-
-    return as_of(wanted, versions, by, cutoff, at, [version])
+def version_as_of(versions: DataFrame, wanted: DataFrame, by: list[str], cutoff: str, at: str, version: str, strict: bool = True) -> DataFrame:
+    """wanted with asof_version: the last version of its group whose data end before its cutoff (or at it, if not strict), ties by the larger id; null, the static fit, if there is none.
+
+    Versions are artifacts, some hundreds a group at most; each group's are one sorted list, which goes to the rows, so no row is sorted and no group gathered."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(version).alias("v"))))
+    listed = versions.groupBy(*by).agg(pairs.alias("_versions"))
+    met = wanted.join(listed, by, "left") if by else wanted.crossJoin(listed)
+    seen = F.filter("_versions", lambda x: (x["t"] < F.col(cutoff)) if strict else (x["t"] <= F.col(cutoff)))
+    return met.withColumn("asof_version", F.array_max(seen)["v"]).drop("_versions")
 
 
 def with_both_sides(parts: list[DataFrame], match: str) -> DataFrame:

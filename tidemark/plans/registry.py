@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, ingest, intake, matching, models, reports
+from tidemark.plans import evaluation, ingest, intake, matching, models, reports, training
 
-MODULES = [ingest, intake, matching, evaluation, reports, models]
+MODULES = [ingest, intake, matching, evaluation, reports, training, models]
 
 
 def queries() -> dict:
