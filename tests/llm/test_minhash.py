@@ -52,7 +52,7 @@ def corpus(seed, n, far=0.03):
         words = list(rng.choice(bases))
         for k in range(len(words)):
             if rng.random() < far * rng.random():
-                words[k] = rng.choice(vocabulary)
+                words[k] = rng.choice(vocabulary) if rng.random() < 0.7 else ""
         docs.append((i, rng.choice([" ", "\n", ", "]).join(words)))
     return docs + [(n, None), (n + 1, ""), (n + 2, "!!"), (n + 3, "!!"), (n + 4, docs[0][1].upper())]
 
@@ -60,13 +60,34 @@ def corpus(seed, n, far=0.03):
 @pytest.mark.parametrize("small", [2, 8])
 def test_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "INNER", small)
+    monkeypatch.setattr(minhash, "FEW_LINKS", 0 if small == 2 else 1000)
     docs = corpus(small, 90, 0.08)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node int")
     found, _ = minhash.classes(df, broadcast_rows=0 if small == 2 else 1000)
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute(docs)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Most pairs are just under the threshold, nodes are linked in chains, and copies of two bases meet in one bucket."""
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "INNER", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" if i % 40 == 7 else w for i, w in enumerate(base)]
+    docs = []
+    for i in range(160):
+        words = list(rng.choice([base, base, other]))
+        for _ in range(rng.choice([1, 2, 3, 4, 6, 8])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[f"x{rng.randrange(400)}"], [], [words[at], "the"]])
+        docs.append((i, " ".join(words[: rng.choice([len(words), len(words), 100, 90])])))
+    found, _ = minhash.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute(docs)
+    assert 10 < len(set(want.values())) < 150
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == want
+
+
 def test_words_and_shingles():
     rng = random.Random(3)
     texts = ["".join(rng.choice(["a", "Bc", " ", "!", "é", "\n", "9"]) for _ in range(rng.randrange(40))) for _ in range(300)]

@@ -345,8 +345,11 @@ def _inner(told: DataFrame, champions: DataFrame, roots: DataFrame, threshold: f
     asked = fit.filter("_out").filter(most >= least).join(occupied, "a").select("a", F.explode(inside).alias("class"), "node", "root", "lacking")
     held = held.join(asked.select("a", "class").distinct(), ["a", "class"], "left_semi")
     lacking = held.unionByName(asked).select("a", "class", "node", "root", F.explode("lacking").alias("unit")).select(F.xxhash64(F.lit("-"), "a", "class", "unit").alias("key"), "a", "node", "root")
-    both = written(beyond.unionAll(lacking), "differences")
-    mixed = both.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
+    both = written(beyond.unionAll(lacking.distinct()), "differences")
+    # Differences that come together, as the runs around one changed word do, have the same nodes; one of them is enough.
+    nodes = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"_x{seed}") for seed in (1, 2)]
+    keys = both.groupBy("key").agg(F.min("a").alias("_a"), F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"), *nodes).filter("_lo != _hi")
+    mixed = keys.groupBy("_a", "_n", "_x1", "_x2").agg(F.min("key").alias("key")).select("key")
     return both.join(mixed, "key", "left_semi").distinct()
 
 
