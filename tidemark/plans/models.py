@@ -277,6 +277,23 @@ def q_stream_first(spark, sf):
     return streams.run_once(e, "append")
 
 
+#: The folds as recursive SQL: a step takes the next match of each tour and hands on the state as a map.
+_MATCHES = """e AS (SELECT event_type AS tour, event_id, epoch_us(ts) AS micros, user_id AS a, value, lead(user_id) OVER w AS b, lead(value) OVER w AS v, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+m AS (SELECT tour, micros, event_id AS match_id, a, b, s, CAST(value > v AS INT) AS won, row_number() OVER (PARTITION BY tour ORDER BY micros, event_id) AS i FROM e WHERE b IS NOT NULL AND b <> a)"""
+_ELO = f"""WITH RECURSIVE {_MATCHES}, g(k, blend) AS (VALUES (24.0::DOUBLE, 0.5::DOUBLE), (32.0, 0.25)),
+f AS (SELECT DISTINCT tour, k, blend, CAST(0 AS BIGINT) AS i, MAP {{'': 1500.0::DOUBLE}} AS st, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS micros, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS p, 0 AS won FROM m, g
+  UNION ALL SELECT tour, k, blend, i, map_concat(st, MAP {{a || '|': ga + ch, a || '|' || s: sa + ch, b || '|': gb - ch, b || '|' || s: sb - ch}}), match_id, micros, ra, rb, p, won FROM (
+    SELECT *, k * (won - p) AS ch FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM (
+      SELECT *, (1 - blend) * ga + blend * sa AS ra, (1 - blend) * gb + blend * sb AS rb FROM (
+        SELECT f.tour, f.k, f.blend, m.i, f.st, m.match_id, m.micros, m.a, m.b, m.s, m.won, coalesce(map_extract_value(st, a || '|'), 1500.0) AS ga, coalesce(map_extract_value(st, a || '|' || s), 1500.0) AS sa, coalesce(map_extract_value(st, b || '|'), 1500.0) AS gb, coalesce(map_extract_value(st, b || '|' || s), 1500.0) AS sb
+        FROM f JOIN m ON m.tour = f.tour AND m.i = f.i + 1)))))"""
+_BRADLEY = f"""WITH RECURSIVE {_MATCHES},
+f AS (SELECT DISTINCT tour, CAST(0 AS BIGINT) AS i, MAP {{CAST(-1 AS BIGINT): {{'m': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 't': CAST(0 AS BIGINT)}}}} AS st, 0.0::DOUBLE AS p, 0.0::DOUBLE AS variance, 0 AS won FROM m
+  UNION ALL SELECT tour, i, map_concat(st, MAP {{a: {{'m': ma + va * (won - q) / (1 + va * q * (1 - q)), 'v': va / (1 + va * q * (1 - q)), 't': micros}}, b: {{'m': mb - vb * (won - q) / (1 + vb * q * (1 - q)), 'v': vb / (1 + vb * q * (1 - q)), 't': micros}}}}), p, va + vb, won FROM (
+    SELECT *, 1 / (1 + exp(-(ma - mb) / sqrt(1 + pi() * (va + vb) / 8))) AS p, 1 / (1 + exp(-(ma - mb))) AS q FROM (
+      SELECT *, coalesce(x.m, 0) * ka AS ma, coalesce(y.m, 0) * kb AS mb, 0.5 + (coalesce(x.v, 0.5) - 0.5) * ka * ka AS va, 0.5 + (coalesce(y.v, 0.5) - 0.5) * kb * kb AS vb FROM (
+        SELECT *, pow(2.0, -(micros - coalesce(x.t, micros)) / 86400e6 / 30.0) AS ka, pow(2.0, -(micros - coalesce(y.t, micros)) / 86400e6 / 30.0) AS kb FROM (
+          SELECT f.tour, m.i, f.st, m.a, m.b, m.won, m.micros, map_extract_value(st, a) AS x, map_extract_value(st, b) AS y FROM f JOIN m ON m.tour = f.tour AND m.i = f.i + 1)))))"""
 _DELTA = "(p * 0.8 + 0.1 - y) * (p * 0.8 + 0.1 - y) - (p - y) * (p - y)"
 
 
@@ -296,9 +313,9 @@ def _boot(by: str | None, strata: list[str], replicates: int, seed: int, low: fl
 
 
 QUERIES = {
-    "elo_fold": (q_elo, None),
-    "elo_weekly_emission": (q_elo_weekly, None),
-    "bradley_terry_filter": (q_bradley, None),
+    "elo_fold": (q_elo, f"{_ELO} SELECT tour, k, blend, match_id, round(ra, 6) AS rating_a, round(rb, 6) AS rating_b, round(p, 9) AS p FROM f WHERE match_id IS NOT NULL"),
+    "elo_weekly_emission": (q_elo_weekly, f"{_ELO} SELECT tour, k, blend, CAST(floor((micros - 1704067200000000) / (7 * 86400000000.0)) AS BIGINT) AS week, count(*) AS n, round(avg((p - won) * (p - won)), 6) AS brier FROM f WHERE match_id IS NOT NULL GROUP BY 1, 2, 3, 4"),
+    "bradley_terry_filter": (q_bradley, f"{_BRADLEY} SELECT tour, count(*) AS n, round(avg(-CASE WHEN won = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, round(avg(variance), 6) AS variance FROM f WHERE i > 0 GROUP BY 1"),
     "point_stream_fold": (q_points, _POINTS),
     "simulate_paths_summary": (q_simulate, None),
     "prop_estimates": (q_props, None),
