@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import MISSING, set_winner
@@ -194,14 +194,21 @@ def validated_score(score: Column, best_of: Column) -> Column:
     return _once(F.struct(words.alias("words"), best_of.cast("int").alias("best")), judge)
 
 
-def score_status(score: Column, best_of: Column) -> tuple[Column, Column]:
-    """Whether a match counts by its score, and why not: a marker anywhere in the text comes first, then the grammar."""
+def with_scores(rows: DataFrame, score: str, best_of: Column, out: str) -> DataFrame:
+    """rows with their validated score as a column. Scores repeat, so each different one is read once and joined back."""
+    rows = rows.withColumn("_best", best_of)
+    known = rows.select(F.col(score).alias("_text"), "_best").distinct().withColumn(out, validated_score(F.col("_text"), F.col("_best")))
+    left, right = rows.alias("l"), known.alias("r")
+    return left.join(right, F.col(f"l.{score}").eqNullSafe(F.col("r._text")) & F.col("l._best").eqNullSafe(F.col("r._best")), "left").select("l.*", f"r.{out}").drop("_best")
+
+
+def score_status(score: Column, checked: Column) -> tuple[Column, Column]:
+    """Whether a match counts by its score, and why not: a marker anywhere in the text comes first, then the grammar, whose result is given."""
     upper = F.upper(F.trim(F.coalesce(score, F.lit(""))))
     reason = None
     for token, name in MARKERS:
         reason = F.when(upper.contains(token), name) if reason is None else reason.when(upper.contains(token), name)
-    checked = validated_score(score, best_of)
-    reason = reason.when(best_of.isNull() | F.array_contains(checked["anomaly_codes"], "SCORE_INVALID_BEST_OF"), "INVALID_OR_INCOMPLETE_SCORE").when(~(checked["valid"] & checked["completed"]), "INVALID_OR_INCOMPLETE_SCORE")
+    reason = reason.when(F.array_contains(checked["anomaly_codes"], "SCORE_INVALID_BEST_OF"), "INVALID_SCORE").when(~(checked["valid"] & checked["completed"]), "INVALID_OR_INCOMPLETE_SCORE")
     return reason.isNull(), reason
 
 

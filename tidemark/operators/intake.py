@@ -87,16 +87,16 @@ def candidates(raw: DataFrame, lag_days: int, namespace: str, tour: str, source_
     date = S.parse_date(F.col("tourney_date").cast("string"))
     best_text = S.optional_text(F.col("best_of").cast("string"))
     best = F.when(best_text.isin("3", "5"), best_text).cast("int")
-    rows = raw.withColumns({"identity_code": identity, "source_date": date, "_best": best, "score_check": T.validated_score(F.col("score"), F.coalesce(best, F.lit(3)))})
+    rows = T.with_scores(raw.withColumns({"identity_code": identity, "source_date": date, "_valid_best": best}), "score", F.coalesce(best, F.lit(3)), "score_check")
     codes = F.when(~F.col("score_check.valid"), F.col("score_check.anomaly_codes")).otherwise(F.array().cast("array<string>"))
-    own = F.array_compact(F.array(F.when(F.col("source_date").isNull(), F.lit("MALFORMED_MATCH_DATE")), F.when(F.col("_best").isNull(), F.lit("MALFORMED_BEST_OF"))))
+    own = F.array_compact(F.array(F.when(F.col("source_date").isNull(), F.lit("MALFORMED_MATCH_DATE")), F.when(F.col("_valid_best").isNull(), F.lit("MALFORMED_BEST_OF"))))
     ok = F.col("identity_code").isNull()
     empty = F.array().cast("array<string>")
     match_id = S.stable_id(F.lit(namespace), F.lit(tour), text["tourney_id"], text["match_num"], F.array_join(F.array_sort(F.array(text["winner_id"], text["loser_id"])), ","))
     return rows.withColumns({
         "fatal_codes": F.when(ok, F.concat(own, F.array_remove(codes, "SCORE_MISSING"))).otherwise(empty), "warning_codes": F.when(ok, F.filter(codes, lambda c: c == "SCORE_MISSING")).otherwise(empty),
-        "match_id": F.when(ok, match_id), "best_of": F.coalesce("_best", F.lit(3)), "available_at": known_at(F.col("source_date"), lag_days, source_available),
-    }).drop("_best")
+        "match_id": F.when(ok, match_id), "best_of": F.coalesce("_valid_best", F.lit(3)), "available_at": known_at(F.col("source_date"), lag_days, source_available),
+    }).drop("_valid_best")
 
 
 def prepared(counts: DataFrame, component: str, cutoff: Column, available: str, observed: str, keys: list[str], window: int = 1095, half_life: float = 365.0) -> tuple[DataFrame, DataFrame]:

@@ -67,13 +67,14 @@ _RAW = f"""raw AS (SELECT *, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o
 
 
 def q_scores(spark, sf):
-    x = load(spark, sf, "orders").select("o_orderkey", T.validated_score(_score(), F.lit(3)).alias("s"))
+    x = T.with_scores(load(spark, sf, "orders").select("o_orderkey", _score().alias("score")), "score", F.lit(3), "s")
     return x.select("o_orderkey", "s.valid", "s.completed", "s.termination", "s.wins_a", "s.wins_b", "s.service_games", "s.official_games", F.array_join(F.array_sort("s.anomaly_codes"), ",").alias("codes"))
 
 
 def q_status(spark, sf):
-    counts_, reason = T.score_status(_score(), F.lit(3))
-    return load(spark, sf, "orders").groupBy(F.coalesce(reason, F.lit("COUNTS")).alias("reason"), counts_.alias("counts")).agg(F.count(F.lit(1)).alias("n"))
+    x = T.with_scores(load(spark, sf, "orders").select("o_orderkey", _score().alias("score")), "score", F.lit(3), "s")
+    counts_, reason = T.score_status(F.col("score"), F.col("s"))
+    return x.groupBy(F.coalesce(reason, F.lit("COUNTS")).alias("reason"), counts_.alias("counts")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_raw_cutoff(spark, sf):
