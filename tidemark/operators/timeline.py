@@ -14,17 +14,20 @@ DAY = 86_400_000_000
 def trailing_workload(rows: DataFrame, by: list[str], micros: str, minutes: str, days: int = 21, short: float = 0.7, short_half: float = 3.0, long_half: float = 14.0, unit: float = 300.0) -> DataFrame:
     """workload before each row from the rows of the days before, decayed by age; null if one of them has no minutes; n_recent counts them.
 
-    Only a row's own window is summed: taking 2 ** (t / half life) out of the sum would overflow over years."""
-    w = Window.partitionBy(*by).orderBy(micros).rangeBetween(-days * DAY, -1)
-    rows = rows.withColumn("_w", F.collect_list(F.struct(F.col(micros).alias("t"), F.col(minutes).cast("double").alias("m"))).over(w))
-
-    def part(x):
-        age = (F.col(micros) - x["t"]) / F.lit(float(DAY))
-        decay = short * F.pow(F.lit(2.0), -age / F.lit(short_half)) + (1 - short) * F.pow(F.lit(2.0), -age / F.lit(long_half))
-        return x["m"] * decay / unit
-
-    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + part(x))
-    return rows.withColumn("workload", total).withColumn("n_recent", F.size("_w").cast("long")).drop("_w")
+    The decay 2 ** (-age / half life) is taken out of the sum, from the start of a block of time, so that sums of numbers do and no row carries its window. Numbers would
+    overflow over years, so a block is ten windows long, and rows of a block's last window stand in the next block, too."""
+    length = 10 * days * DAY
+    block = F.floor(F.col(micros) / F.lit(length)).cast("long")
+    late = F.col(micros) >= (block + 1) * length - days * DAY
+    rows = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array_compact(F.array(block, F.when(late, block + 1)))))
+    w = Window.partitionBy(*by, "_block").orderBy(micros).rangeBetween(-days * DAY, -1)
+    since = (F.col(micros) - F.col("_block") * length) / F.lit(float(DAY))
+    m, total = F.col(minutes).cast("double"), F.lit(0.0)
+    for share, half in ((short, short_half), (1 - short, long_half)):
+        total = total + share / unit * F.pow(F.lit(2.0), -since / F.lit(half)) * F.coalesce(F.sum(m * F.pow(F.lit(2.0), since / F.lit(half))).over(w), F.lit(0.0))
+    n = F.count(F.lit(1)).over(w)
+    rows = rows.withColumns({"n_recent": n, "workload": F.when(F.count(m).over(w) == n, total)})
+    return rows.filter("_own = _block").drop("_own", "_block")
 
 
 def gaps(rows: DataFrame, by: list[str], micros: str) -> DataFrame:
