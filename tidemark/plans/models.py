@@ -279,13 +279,13 @@ def q_stream_first(spark, sf):
 
 #: The folds as recursive SQL: a step takes the next match of each tour and hands on the state as a map.
 _MATCHES = """e AS (SELECT event_type AS tour, event_id, epoch_us(ts) AS micros, user_id AS a, value, lead(user_id) OVER w AS b, lead(value) OVER w AS v, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
-m AS (SELECT tour, micros, event_id AS match_id, a, b, s, CAST(value > v AS INT) AS won, row_number() OVER (PARTITION BY tour ORDER BY micros, event_id) AS i FROM e WHERE b IS NOT NULL AND b <> a)"""
+m AS MATERIALIZED (SELECT tour, micros, event_id AS match_id, a, b, s, CAST(value > v AS INT) AS won, row_number() OVER (PARTITION BY tour ORDER BY micros, event_id) AS i FROM e WHERE b IS NOT NULL AND b <> a)"""
 _ELO = f"""WITH RECURSIVE {_MATCHES}, g(k, blend) AS (VALUES (24.0::DOUBLE, 0.5::DOUBLE), (32.0, 0.25)),
-f AS (SELECT DISTINCT tour, k, blend, CAST(0 AS BIGINT) AS i, MAP {{'': 1500.0::DOUBLE}} AS st, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS micros, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS p, 0 AS won FROM m, g
-  UNION ALL SELECT tour, k, blend, i, map_concat(st, MAP {{a || '|': ga + ch, a || '|' || s: sa + ch, b || '|': gb - ch, b || '|' || s: sb - ch}}), match_id, micros, ra, rb, p, won FROM (
+f AS (SELECT DISTINCT tour, k, blend, CAST(0 AS BIGINT) AS i, MAP {{CAST(-1 AS BIGINT): 1500.0::DOUBLE}} AS st, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS micros, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS p, 0 AS won FROM m, g
+  UNION ALL SELECT tour, k, blend, i, map_concat(st, MAP {{a * 4: ga + ch, a * 4 + 1 + s: sa + ch, b * 4: gb - ch, b * 4 + 1 + s: sb - ch}}), match_id, micros, ra, rb, p, won FROM (
     SELECT *, k * (won - p) AS ch FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM (
       SELECT *, (1 - blend) * ga + blend * sa AS ra, (1 - blend) * gb + blend * sb AS rb FROM (
-        SELECT f.tour, f.k, f.blend, m.i, f.st, m.match_id, m.micros, m.a, m.b, m.s, m.won, coalesce(map_extract_value(st, a || '|'), 1500.0) AS ga, coalesce(map_extract_value(st, a || '|' || s), 1500.0) AS sa, coalesce(map_extract_value(st, b || '|'), 1500.0) AS gb, coalesce(map_extract_value(st, b || '|' || s), 1500.0) AS sb
+        SELECT f.tour, f.k, f.blend, m.i, f.st, m.match_id, m.micros, m.a, m.b, m.s, m.won, coalesce(map_extract_value(st, a * 4), 1500.0) AS ga, coalesce(map_extract_value(st, a * 4 + 1 + s), 1500.0) AS sa, coalesce(map_extract_value(st, b * 4), 1500.0) AS gb, coalesce(map_extract_value(st, b * 4 + 1 + s), 1500.0) AS sb
         FROM f JOIN m ON m.tour = f.tour AND m.i = f.i + 1)))))"""
 _BRADLEY = f"""WITH RECURSIVE {_MATCHES},
 f AS (SELECT DISTINCT tour, CAST(0 AS BIGINT) AS i, MAP {{CAST(-1 AS BIGINT): {{'m': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 't': CAST(0 AS BIGINT)}}}} AS st, 0.0::DOUBLE AS p, 0.0::DOUBLE AS variance, 0 AS won FROM m
