@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels
 from tidemark.functions import text as T
-from tidemark.operators import fits, intake, journal, reports, simulate
+from tidemark.operators import fits, intake, journal, matching, reports, simulate
 from tidemark.plans.intake import SCORES
 
 
@@ -108,3 +108,24 @@ def test_intake_helpers(spark):
     assert df.select(intake.first_present(df, ["x", "k", "d"])).head()[0] == 1 and df.select(intake.first_present(df, ["x"])).head()[0] is None
     share = df.select(reports.stopping(F.lit(0), F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(True))).head()[0]
     assert share == "UNAVAILABLE"
+
+
+@pytest.mark.parametrize(("by", "strict"), [([], False), ([], True)])
+def test_version_as_of_against_a_search_without_lists(spark, by, strict):
+    rng = np.random.default_rng(3)
+    pick = lambda n, top, nulls: [None if nulls and rng.random() < 0.1 else int(x) for x in rng.integers(0, top, n)]
+    versions = list(zip(pick(300, 3, True), pick(300, 90, True), pick(300, 1000, True), strict=True))
+    wanted = list(zip(range(200), pick(200, 4, True), pick(200, 100, True), strict=True))
+
+    def search(g, cutoff):
+        fit = [(t, -1 if v is None else v) for k, t, v in versions if (not by or (k is not None and k == g)) and None not in (t, cutoff) and (t < cutoff or (t == cutoff and not strict))]
+        v = max(fit)[1] if fit else -1
+        return None if v < 0 else v
+
+    v, w = spark.createDataFrame(versions, "g int, t int, v int"), spark.createDataFrame(wanted, "i int, g int, cutoff int")
+    out = matching.version_as_of(v, w, by, "cutoff", "t", "v", strict=strict)
+    assert out.columns == ["i", "g", "cutoff", "asof_version"]
+    assert {r["i"]: r["asof_version"] for r in out.collect()} == {i: search(g, c) for i, g, c in wanted}
+    assert matching.version_as_of(v.limit(0), w, by, "cutoff", "t", "v").filter("asof_version IS NULL").count() == 200
+    # Each row met the sorted list of its group's versions: rows times versions.
+    assert "collect_list" not in out._jdf.queryExecution().toString()
