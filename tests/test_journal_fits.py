@@ -110,7 +110,7 @@ def test_intake_helpers(spark):
     assert share == "UNAVAILABLE"
 
 
-@pytest.mark.parametrize(("by", "strict"), [([], False), ([], True)])
+@pytest.mark.parametrize(("by", "strict"), [([], False), ([], True), (["g"], False), (["g"], True)])
 def test_version_as_of_against_a_search_without_lists(spark, by, strict):
     rng = np.random.default_rng(3)
     pick = lambda n, top, nulls: [None if nulls and rng.random() < 0.1 else int(x) for x in rng.integers(0, top, n)]
