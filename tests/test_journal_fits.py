@@ -129,3 +129,29 @@ def test_version_as_of_against_a_search_without_lists(spark, by, strict):
     assert matching.version_as_of(v.limit(0), w, by, "cutoff", "t", "v").filter("asof_version IS NULL").count() == 200
     # Each row met the sorted list of its group's versions: rows times versions.
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_duration_fit_gathers_no_group(spark):
+    """Tasks add up sums over batches of matches and the fit equals the kernel's over all rows; before, each group went to one task as a whole."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for tour, n in (("A", 900), (None, 700), ("C", 1)):
+        x = np.c_[np.ones(n), rng.integers(60, 250, n), rng.integers(12, 39, n)].astype(float)
+        a = rng.integers(0, 8, n)
+        b = (a + rng.integers(1, 8, n)) % 8
+        w = rng.uniform(0.5, 1.0, n)
+        y = x @ np.array([4.0, 0.55, 0.9]) + a / 4 + b / 4 + (1 + 0.4 * np.sqrt(x[:, 1])) * rng.standard_t(6, n)
+        rows += [(tour, float(y[i]), float(x[i, 1]), float(x[i, 2]), f"p{a[i]}", f"p{b[i]}", float(w[i])) for i in range(n)]
+        names = sorted({*a.tolist(), *b.tolist()})
+        place = {p: i for i, p in enumerate(names)}
+        want[tour] = kernels.student_fit(x, y, w, np.array([place[i] for i in a.tolist()]), np.array([place[i] for i in b.tolist()]), len(names)) | {"n": n, "players": [f"p{i}" for i in names]}
+    df = spark.createDataFrame(rows, "tour string, y double, points double, games double, a string, b string, w double").repartition(5)
+    out = fits.duration(df, ["tour"], "y", ["points", "games"], "a", "b", "w")
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = {r["tour"]: r for r in out.collect()}
+    assert set(got) == set(want)
+    for tour, r in got.items():
+        assert r["n"] == want[tour]["n"] and r["players"] == want[tour]["players"]
+        for c in ("beta", "pace", "sigma0", "sigma1"):
+            assert np.allclose(r[c], want[tour][c], rtol=2e-3, atol=2e-3), (tour, c, r[c], want[tour][c])
+    assert fits.duration(df.limit(0), ["tour"], "y", ["points", "games"], "a", "b", "w").count() == 0

@@ -201,10 +201,11 @@ def confidence_sequence(successes: int, trials: int, level: float = 0.95, a: flo
     return ends[0], ends[1]
 
 
-def descent(objective, start: np.ndarray, rounds: int = 500, memory: int = 12, tolerance: float = 1e-6) -> np.ndarray:
-    """A local minimum by quasi-Newton steps of limited memory; objective gives value and gradient."""
+def descending(start: np.ndarray, rounds: int = 500, memory: int = 12, tolerance: float = 1e-6, longest=None):
+    """A generator that asks for (value, gradient) at the points it yields and returns a local minimum, by quasi-Newton steps of limited memory.
+    longest: the size of step that a direction allows; if given, the curvature is about 1 on all axes, so that the first step is the gradient itself."""
     x = start.astype(float)
-    value, gradient = objective(x)
+    value, gradient = yield x
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
         if np.abs(gradient).max() <= tolerance * max(1.0, abs(value)):
@@ -216,16 +217,16 @@ def descent(objective, start: np.ndarray, rounds: int = 500, memory: int = 12, t
         if past:
             s, y, _ = past[-1]
             q *= (s @ y) / (y @ y)
-        else:
+        elif longest is None:
             q /= max(1.0, np.linalg.norm(gradient))
         for (s, y, rho), scale in zip(past, reversed(scales), strict=True):
             q += (scale - rho * (y @ q)) * s
         slope = -(gradient @ q)
         if slope >= 0:
             q, slope, past = gradient / max(1.0, np.linalg.norm(gradient)), -np.linalg.norm(gradient), []
-        size = 1.0
+        size = 1.0 if longest is None else min(1.0, longest(q))
         while True:
-            new_value, new_gradient = objective(x - size * q)
+            new_value, new_gradient = yield x - size * q
             if np.isfinite(new_value) and new_value <= value + 1e-4 * size * slope or size < 1e-12:
                 break
             size /= 2
@@ -239,32 +240,99 @@ def descent(objective, start: np.ndarray, rounds: int = 500, memory: int = 12, t
     return x
 
 
-def student_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, players: int, beta_sd: float = 50.0, pace_sd: float = 5.0, residual_sd: float = 1.0, start: tuple[float, float, float] = (2.0, 0.5, 8.0)) -> dict:
-    """Posterior mode of minutes with Student-t errors whose scale grows with the root of the points (x[:, 1]), with a pace of each player.
+def driven(steps, objective) -> np.ndarray:
+    """The end of a generator of steps whose questions objective answers."""
+    x = next(steps)
+    while True:
+        try:
+            x = steps.send(objective(x))
+        except StopIteration as e:
+            return e.value
 
-    Paces are shrunk to 0 and add up to 0. Minimised are the weighted log density and normal priors, with their exact gradient."""
+
+def descent(objective, start: np.ndarray, rounds: int = 500, memory: int = 12, tolerance: float = 1e-6) -> np.ndarray:
+    """descending() of an objective that gives value and gradient."""
+    return driven(descending(start, rounds, memory, tolerance), objective)
+
+
+#: Standard deviations of the priors of coefficients, paces and the rest, and where sigma0, sigma1 and nu begin.
+STUDENT_SD, STUDENT_START = (50.0, 5.0, 1.0), (2.0, 0.5, 8.0)
+
+
+def student_sums(v: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, players: int) -> np.ndarray:
+    """What matches add to the objective of student_objective() at v and to its gradient: sums, so those of parts of the matches add up."""
     k, root = x.shape[1], np.sqrt(np.maximum(x[:, 1], 1.0))
-    mid = np.log(np.array([start[0], start[1], start[2] - 2]))
-
-    def objective(v):
-        beta, pace = v[:k], v[k : k + players] - v[k : k + players].mean()
-        s0, s1, m = np.exp(np.clip(v[k + players :], -20, 20))
-        nu, scale = 2 + m, s0 + s1 * root
-        error = y - x @ beta - pace[a] - pace[b]
-        u = (error / scale) ** 2
-        density = lgamma((nu + 1) / 2)[0] - lgamma(nu / 2)[0] - 0.5 * math.log(nu * math.pi) - np.log(scale) - (nu + 1) / 2 * np.log1p(u / nu)
-        rest = v[k + players :] - mid
-        value = -weight @ density + 0.5 * (beta @ beta) / beta_sd**2 + 0.5 * (pace @ pace) / pace_sd**2 + 0.5 * (rest @ rest) / residual_sd**2
-        pull = weight * (nu + 1) * error / (nu * scale**2 + error**2)
-        each = -np.bincount(a, pull, players) - np.bincount(b, pull, players) + pace / pace_sd**2
-        spread = weight * (1 - (nu + 1) * u / (nu + u)) / scale
-        half = digamma(np.array([(nu + 1) / 2, nu / 2]))
-        free = -0.5 * half[0] + 0.5 * half[1] + 0.5 / nu + 0.5 * np.log1p(u / nu) - (nu + 1) * u / (2 * nu * (nu + u))
-        tail = np.array([spread.sum() * s0, (spread @ root) * s1, (weight @ free) * m]) + rest / residual_sd**2
-        return float(value), np.concatenate([-(x.T @ pull) + beta / beta_sd**2, each - each.mean(), tail])
-
-    first = np.linalg.solve((x * weight[:, None]).T @ x + np.eye(k) / beta_sd**2, (x * weight[:, None]).T @ y)
-    v = descent(objective, np.concatenate([first, np.zeros(players), mid]))
+    beta, pace = v[:k], v[k : k + players] - v[k : k + players].mean()
+    s0, s1, m = np.exp(np.clip(v[k + players :], -20, 20))
+    nu, scale = 2 + m, s0 + s1 * root
+    error = y - x @ beta - pace[a] - pace[b]
+    u = (error / scale) ** 2
+    density = lgamma((nu + 1) / 2)[0] - lgamma(nu / 2)[0] - 0.5 * math.log(nu * math.pi) - np.log(scale) - (nu + 1) / 2 * np.log1p(u / nu)
+    pull = weight * (nu + 1) * error / (nu * scale**2 + error**2)
+    spread = weight * (1 - (nu + 1) * u / (nu + u)) / scale
+    half = digamma(np.array([(nu + 1) / 2, nu / 2]))
+    free = -0.5 * half[0] + 0.5 * half[1] + 0.5 / nu + 0.5 * np.log1p(u / nu) - (nu + 1) * u / (2 * nu * (nu + u))
+    each = np.bincount(a, pull, players) + np.bincount(b, pull, players)
+    return np.concatenate([[weight @ density], x.T @ pull, each, [spread.sum() * s0, (spread @ root) * s1, (weight @ free) * m]])
+
+
+def student_objective(v: np.ndarray, sums: np.ndarray, k: int, players: int) -> tuple[float, np.ndarray]:
+    """Value and exact gradient of the negative weighted log density of Student-t errors and normal priors, from the sums over all matches."""
+    beta_sd, pace_sd, residual_sd = STUDENT_SD
+    beta, pace = v[:k], v[k : k + players] - v[k : k + players].mean()
+    rest = v[k + players :] - _student_mid()
+    value = -sums[0] + 0.5 * (beta @ beta) / beta_sd**2 + 0.5 * (pace @ pace) / pace_sd**2 + 0.5 * (rest @ rest) / residual_sd**2
+    each = pace / pace_sd**2 - sums[1 + k : 1 + k + players]
+    return float(value), np.concatenate([-sums[1 : 1 + k] + beta / beta_sd**2, each - each.mean(), sums[1 + k + players :] + rest / residual_sd**2])
+
+
+def _student_mid() -> np.ndarray:
+    return np.log(np.array([STUDENT_START[0], STUDENT_START[1], STUDENT_START[2] - 2]))
+
+
+def student_steps(xx: np.ndarray, xy: np.ndarray, games: np.ndarray, spreads: np.ndarray):
+    """A generator of the points at which the fit asks for student_objective(); it returns the mode.
+
+    It begins at least squares and steps on axes on which the curvature there is about 1, so that few points do. Its moments are sums over
+    matches at the first scale s = s0 + s1 * root: of w / s^2 times products of x (xx), x times y (xy), of w / s^2 by player (games), and of w times
+    1, s0^2 / s^2, s0 s1 root / s^2 and s1^2 root^2 / s^2 (spreads)."""
+    k, players = len(xy), len(games)
+    beta_sd, pace_sd, residual_sd = STUDENT_SD
+    curve = xx + np.eye(k) / beta_sd**2
+    n, first, both, second = spreads
+    tail = np.array([[2 * first, 2 * both, 0], [2 * both, 2 * second, 0], [0, 0, 0.03 * n]]) + np.eye(3) / residual_sd**2
+    start = np.concatenate([np.linalg.solve(curve, xy), np.zeros(players), _student_mid()])
+    turn = np.zeros((k, k)), np.zeros((3, 3))
+    for out, c in zip(turn, (curve, tail), strict=True):
+        out[:] = np.linalg.inv(np.linalg.cholesky(c)).T if np.isfinite(c).all() else np.eye(len(c))
+    width = 1 / np.sqrt(games + 1 / pace_sd**2)
+    there = lambda z: start + np.concatenate([turn[0] @ z[:k], width * z[k : k + players], turn[1] @ z[k + players :]])
+    # The scales and degrees of freedom change by a factor of two at most in a step: far off, where one of them is all but 0, nothing calls them back.
+    longest = lambda q: math.log(2) / max(np.abs(turn[1] @ q[k + players :]).max(), 1e-300)
+    inner = descending(np.zeros(len(start)), tolerance=1e-8, longest=longest)
+    z = next(inner)
+    while True:
+        value, g = yield there(z)
+        try:
+            z = inner.send((value, np.concatenate([turn[0].T @ g[:k], width * g[k : k + players], turn[1].T @ g[k + players :]])))
+        except StopIteration as e:
+            return there(e.value)
+
+
+def student_found(v: np.ndarray, k: int, players: int) -> dict:
     s0, s1, m = np.exp(v[k + players :])
     pace = v[k : k + players]
-    return {"beta": v[:k], "pace": pace - pace.mean(), "sigma0": float(s0), "sigma1": float(s1), "nu": float(2 + m), "value": objective(v)[0]}
+    return {"beta": v[:k], "pace": pace - pace.mean(), "sigma0": float(s0), "sigma1": float(s1), "nu": float(2 + m)}
+
+
+def student_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, players: int) -> dict:
+    """Posterior mode of minutes with Student-t errors whose scale grows with the root of the points (x[:, 1]), with a pace of each player.
+
+    Paces are shrunk to 0 and add up to 0. Minimised are the weighted log density and normal priors, with their exact gradient."""
+    k = x.shape[1]
+    objective = lambda v: student_objective(v, student_sums(v, x, y, weight, a, b, players), k, players)
+    s0, s1, root = *STUDENT_START[:2], np.sqrt(np.maximum(x[:, 1], 1.0))
+    part = weight / (s0 + s1 * root) ** 2
+    spreads = np.array([weight.sum(), part.sum() * s0**2, (part @ root) * s0 * s1, (part @ root**2) * s1**2])
+    v = driven(student_steps((x * part[:, None]).T @ x, (x * part[:, None]).T @ y, np.bincount(a, part, players) + np.bincount(b, part, players), spreads), objective)
+    return student_found(v, k, players) | {"value": objective(v)[0]}
